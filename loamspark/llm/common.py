@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,25 +77,38 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _WordHashes(dict):
-    """Word to 64-bit hash, emptied when it holds a million words."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return found
+_BYTES = scramble(np.arange(1, 257, dtype=np.uint64))
+_POWER, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 @functools.cache
-def _word_hashes() -> _WordHashes:
-    return _WordHashes()
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2^bits powers of an odd multiplier and of its inverse, by 64-bit overflow."""
+    out = []
+    for base in (_POWER, _INVERSE):
+        steps = np.full(1 << bits, base, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash for each word (lower case, split at white space)."""
-    words = (text or "").lower().split()
-    return np.fromiter(map(_word_hashes().__getitem__, words), np.uint64, len(words))
+    """A 64-bit hash for each word (lower case, split at ASCII white space).
+
+    Bytes are summed with rising powers over the whole text at once; a word's hash is its part of the sum, shifted back.
+    """
+    raw = np.frombuffer((text or "").lower().encode("utf-8", "replace"), np.uint8)
+    inside = ~_SPACE[raw]
+    edges = np.diff(np.concatenate([[False], inside, [False]]).view(np.int8))
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    up, down = _powers(max(12, len(raw).bit_length()))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTES[raw] * up[: len(raw)], out=sums[1:])
+    return scramble((sums[ends] - sums[starts]) * down[starts])
 
 
 def shingles(text: str | None) -> np.ndarray:

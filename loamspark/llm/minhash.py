@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamspark.llm.common import components, materialize, read, salted_pairs, scramble, shingles, with_arrow_columns
+from loamspark.llm.common import components, materialize, read, salted_pairs, scramble, shingles, with_arrow_columns, word_hashes
 
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 2
@@ -148,6 +148,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     keyed = materialize(reps.groupBy(F.col("r.doc_id").alias("id")).agg(F.min(F.struct("words", "r.bands"))["bands"].alias("bands")).select("id", F.explode(F.array_distinct("bands")).alias("band")))
     reps = reps.select("words", F.col("r.doc_id").alias("rep"), "n_copies")
+    # Texts are gathered once, for all that share a band with another; a merge join, so that the plan is the same at any size.
+    crowded = materialize(keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    wanted = keyed.join(crowded, "band", "left_semi").select("id").distinct()
+    needed = materialize(texts.join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    keyed = materialize(keyed.join(crowded, "band", "left_semi"))
     links = None
     open_ = None
     for turn in range(ROUNDS):
@@ -164,15 +169,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             return pd.DataFrame(kept, columns=["a", "b", "similarity"])
 
         kind = docs.schema["doc_id"].dataType.simpleString()
-        wanted = pairs.select(F.explode(F.array("member", "centre")).alias("id")).distinct()
-        needed = texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
         found = materialize(salted_pairs(pairs, needed, GROUP, verify, f"a {kind}, b {kind}, similarity double"))
         links = found if links is None else links.unionByName(found)
         # Still open: ids that share a band with more than its centre and have not been linked by it.
         taken = found.select(F.col("a").alias("id"), F.col("b").alias("centre"))
         base = keyed if turn == 0 else open_
-        sizes = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 2").select("band")
-        left = base.join(sizes, "band", "left_semi").join(centres, "band").where("id != centre").join(taken, ["id", "centre"], "left_anti").select("id", "band")
+        left = base.join(crowded.where("n > 2"), "band", "left_semi").join(centres, "band").where("id != centre").join(taken, ["id", "centre"], "left_anti").select("id", "band")
         open_ = materialize(left)
         if not open_.take(1):
             break
@@ -184,8 +186,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def _fingerprint(text: str | None) -> str | None:
-    words = (text or "").lower().split()
-    return xxhash.xxh3_128_hexdigest(" ".join(words).encode("utf-8", "surrogatepass")) if words else None
+    words = word_hashes(text)
+    return xxhash.xxh3_128_hexdigest(words.tobytes()) if len(words) else None
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -94,16 +94,21 @@ def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def passages(mine: np.ndarray, theirs: np.ndarray, anchors: list[tuple[int, int, int]], least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
+def passages(mine: np.ndarray, theirs: np.ndarray, anchors: list[tuple[int, int, int]], least: int, similarity: float, known: np.ndarray | None = None) -> list[tuple[int, int, int, int, float]]:
     """(start, end, their start, their end, Jaccard) of near-duplicate stretches of two lists of shingles; ends exclusive.
 
     anchors: (hash function, my place, their place) of shared windows. A stretch is a run of shared shingles with gaps of
-    few words; a pair of stretches needs anchors of enough hash functions, the least length and the similarity. Each
+    few words (known: their distinct shingles, sorted); a pair of stretches needs anchors of enough hash functions, the least length and the similarity. Each
     alignment of its anchors is tried, then the stretches as a whole (texts that repeat themselves have no single alignment).
     """
-    shared, common = np.flatnonzero(np.isin(mine, theirs)), np.flatnonzero(np.isin(theirs, mine))
-    if not len(shared):
+    known = np.unique(theirs) if known is None else known
+    shared = np.flatnonzero(known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine)
+    if len(shared) < least * similarity:
         return []
+    starts, ends = _stretches(shared, GAP)
+    if (ends - starts).max() < least:
+        return []
+    common = np.flatnonzero(np.isin(theirs, mine[shared]))
     out: list[tuple[int, int, int, int, float]] = []
     for gap in (GAP, 1):
         (s1, e1), (s2, e2) = _stretches(shared, gap), _stretches(common, gap)
@@ -131,8 +136,7 @@ def passages(mine: np.ndarray, theirs: np.ndarray, anchors: list[tuple[int, int,
                     continue
                 if len(groups) > 1:
                     # Several alignments in one stretch: keep what this one matches itself.
-                    places = np.arange(lo, hi)
-                    aligned = places[np.abs(_places(theirs, mine[lo:hi], places - shift) - (places - shift)) <= DRIFT]
+                    aligned = np.flatnonzero(_aligned(mine[lo:hi], theirs, lo - shift)) + lo
                     if not len(aligned):
                         continue
                     lo, hi = int(aligned[0]), int(aligned[-1]) + 1
@@ -144,17 +148,12 @@ def passages(mine: np.ndarray, theirs: np.ndarray, anchors: list[tuple[int, int,
     return out
 
 
-def _places(values: np.ndarray, wanted: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """For each wanted value the place in values that is nearest to near."""
-    order = np.argsort(values, kind="stable")
-    ranked = values[order]
-    lo, hi = np.searchsorted(ranked, wanted, "left"), np.searchsorted(ranked, wanted, "right")
-    out = np.full(len(wanted), -(1 << 40))
-    for i in range(len(wanted)):
-        at = order[lo[i] : hi[i]]
-        if len(at):
-            out[i] = at[np.abs(at - near[i]).argmin()]
-    return out
+def _aligned(values: np.ndarray, others: np.ndarray, at: int) -> np.ndarray:
+    """Which values stand in others within DRIFT places of their own place, counted from at."""
+    wide = np.zeros(len(values) + 2 * DRIFT, np.uint64)
+    lo, hi = max(0, at - DRIFT), min(len(others), at + len(values) + DRIFT)
+    wide[lo - (at - DRIFT) : hi - (at - DRIFT)] = others[lo:hi]
+    return np.logical_or.reduce([wide[d : d + len(values)] == values for d in range(2 * DRIFT + 1)])
 
 
 def repeated_passages(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -170,13 +169,17 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, similarity: float = S
     at = F.struct("doc_id", "place")
     shared = windows.groupBy("key").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first.doc_id != last.doc_id")
     links = materialize(windows.join(shared, "key").withColumns({"centre": F.col("first.doc_id"), "c_place": F.col("first.place")}))
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    # Texts are gathered once, for all that share a window; a merge join, so that the plan is the same at any size.
+    linked = links.select(F.col("doc_id").alias("id")).distinct()
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(linked.hint("merge"), "id", "left_semi")
+    texts = materialize(texts.groupBy("id").agg(F.min("text").alias("text")))
 
     def verify(centre, members):
         theirs, rows, own = shingles(centre["text"]), [], []
+        known = np.unique(theirs)
         for member, text, anchors in zip(members["member"], members["text"], members["anchors"], strict=True):
             places = [(x["hash"], x["place"], x["c_place"]) for x in anchors]
-            for a, b, c, d, score in passages(shingles(text), theirs, places, least, similarity):
+            for a, b, c, d, score in passages(shingles(text), theirs, places, least, similarity, known):
                 rows.append((member, a, b + SHINGLE - 1, centre["centre"], score))
                 own.append((c, d + SHINGLE - 1, member, score))
         merged: list[list] = []
@@ -193,21 +196,19 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, similarity: float = S
         pairs = links.where("doc_id != centre").groupBy(F.col("doc_id").alias("member"), "centre").agg(F.collect_list(anchor).alias("anchors"))
         # Enough hash functions must share windows: a lone collision is no candidate.
         pairs = materialize(pairs.where(F.size(F.array_distinct(F.transform("anchors", lambda a: a["hash"]))) >= ENOUGH))
-        wanted = pairs.select(F.explode(F.array("member", "centre")).alias("id")).distinct()
-        needed = texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-        return materialize(salted_pairs(pairs, needed, GROUP, verify, f"doc_id {doc}, start int, end int, other_id {doc}, similarity double"))
+        return materialize(salted_pairs(pairs, texts, GROUP, verify, f"doc_id {doc}, start int, end int, other_id {doc}, similarity double"))
 
     def without(links: DataFrame, found: DataFrame) -> DataFrame:
         """Links whose place no verified passage of their document covers."""
         spans = found.select("doc_id", "start", "end").distinct()
         return links.join(spans, (links["doc_id"] == spans["doc_id"]) & links["place"].between(spans["start"], spans["end"] - SHINGLE), "left_anti")
 
-    # The first document of a key is the centre of all; windows that it does not explain meet the last one, and what is then
-    # left of a key meets its own first one.
+    # The first document of a key is the centre of all others; windows of these that it does not explain meet the last one,
+    # and what is then left of a key, besides those two, meets its own first one.
     found = verified(links)
-    open_ = materialize(without(links, found).withColumns({"centre": F.col("last.doc_id"), "c_place": F.col("last.place")}))
+    open_ = materialize(without(links.where("doc_id != first.doc_id"), found).withColumns({"centre": F.col("last.doc_id"), "c_place": F.col("last.place")}))
     second = verified(open_)
-    rest = without(open_, second).drop("centre", "c_place")
+    rest = without(open_.where("doc_id != last.doc_id"), second).drop("centre", "c_place")
     own = rest.groupBy("key").agg(F.min(at).alias("own"), F.max("doc_id").alias("own_last")).where("own.doc_id != own_last")
     third = verified(rest.join(own, "key").withColumns({"centre": F.col("own.doc_id"), "c_place": F.col("own.place")}))
     return found.unionByName(second).unionByName(third)
