@@ -10,10 +10,10 @@ WORD = r"[\p{L}\p{N}_]+"
 # Cue words and patterns of the classifiers and scorers.
 DECISIONS = "decided|chose|will|going to|plan to|want to"
 FACTS = (r"\b[0-9]{4}\b", r"\b[0-9]+\s*(dollars?|usd|\$|euros?|pounds?)\b", r"\b[0-9]+\s*(percent|%)\b")
-PRONOUN = r"(?i)\b(they|them|their|theirs|it|its|he|him|his|she|her|hers|we|us|our|ours)\b"
-REFERENCE = r"(?i)\b(that|those|this|these|the same|such|said|mentioned|above|previous)\b"
-IMPLICIT = r"(?i)^(and|also|what about|how about|same for|likewise|plus|too)\b"
-ELLIPSIS = r"(?i)^(yes|no|maybe|sure|ok|okay|right|exactly|correct)\s*[,.]?\s*"
+PRONOUN = "they|them|their|theirs|it|its|he|him|his|she|her|hers|we|us|our|ours"
+REFERENCE = "that|those|this|these|the same|such|said|mentioned|above|previous"
+IMPLICIT = "and|also|what about|how about|same for|likewise|plus|too"
+ELLIPSIS = "yes|no|maybe|sure|ok|okay|right|exactly|correct"
 EVENT_WEIGHTS = {"system": 0.3, "tool_call": 0.2, "tool_output": 0.15, "user": 0.1}
 KNOWLEDGE = {
     "rule": ((r"\b(must|shall|always|never|required|mandatory)\b", 1.0), (r"\b(ensure|verify|validate)\s+that\b", 0.7), (r"^(do not|don't)\b", 0.6), (r"\bevery\s+(request|call|operation)\b", 0.5)),
@@ -133,9 +133,14 @@ def memory_importance(text, source, explicit: bool = False) -> Column:
 
 
 def ambiguity(text) -> Column:
-    """Why a query may need rewriting: pronoun, reference, implicit or ellipsis; null if it is clear."""
-    t = F.trim(text)
-    return F.when(t.rlike(PRONOUN), "pronoun").when(t.rlike(REFERENCE), "reference").when(t.rlike(IMPLICIT), "implicit").when(t.rlike(ELLIPSIS), "ellipsis").when(n_words(t) <= 3, "implicit")
+    """Why a query may need rewriting: pronoun, reference, implicit or ellipsis; null if it is clear.
+
+    Words are compared between single spaces, so word borders follow Unicode in any regular expression engine.
+    """
+    t = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), " "), F.lit(" "))
+    has = lambda words: t.rlike(f" ({words}) ")
+    starts = lambda words: t.rlike(f"^ ({words}) ")
+    return F.when(has(PRONOUN), "pronoun").when(has(REFERENCE), "reference").when(starts(IMPLICIT), "implicit").when(starts(ELLIPSIS), "ellipsis").when(n_words(text) <= 3, "implicit")
 
 
 def knowledge_type(text) -> Column:
@@ -160,7 +165,8 @@ def intents(text) -> Column:
 
 
 def headline(text, width: int = 80) -> Column:
-    return F.when(F.length(text) > width, F.concat(F.substring(text, 1, width - 3), F.lit("..."))).otherwise(text)
+    t = F.col(text) if isinstance(text, str) else text
+    return F.when(F.length(t) > width, F.concat(F.substring(t, 1, width - 3), F.lit("..."))).otherwise(t)
 
 
 def strip_html(html) -> Column:
