@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import base64
 import functools
-from array import array
-from itertools import chain
+import struct
 
+import ahocorasick
+import numpy as np
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 from loamspark.llm.common import read, with_arrow_columns
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
-CACHED_PIECES = 400_000
+CACHED_PIECES = 600_000
 CACHED_PAIRS = 2_000_000
 
 
@@ -31,11 +32,12 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ids = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        by_last: dict[int, set[int]] = {}
-        for b in ranks:
-            by_last.setdefault(b[-1], set()).add(len(b))
-        self.sizes = {k: sorted(v, reverse=True) for k, v in by_last.items()}
         self.longest = max(map(len, ranks), default=1)
+        #: Finds all tokens that end at each byte (bytes as characters 0 to 255).
+        self.matches = ahocorasick.Automaton()
+        for b, i in ranks.items():
+            self.matches.add_word(b.decode("latin-1"), (i, len(b)))
+        self.matches.make_automaton()
         self._halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._left: dict[int, list] = {}
         self._right: dict[int, list] = {}
@@ -73,6 +75,8 @@ class Vocabulary:
         """Whether b may follow a: no merge across their border comes before the merges that absorb the parts at it."""
         key = a << 32 | b
         known = self._fits.get(key)
+        if known is None and len(self.bytes_of[b]) > 1 and self.halves(self.bytes_of[b]) is None:
+            known = self._fits[key] = False
         if known is None:
             if a not in self._right:
                 self._right[a] = self._spine(a, 1)
@@ -90,24 +94,21 @@ class Vocabulary:
 
     def extend(self, piece: bytes, last: list[int], upto: int) -> None:
         """Append to last the unique valid last token of each prefix of piece from len(last)+1 to upto bytes."""
-        ids, known, fits, sizes = self.ids, self._fits, self.fits, self.sizes
-        for end in range(len(last) + 1, upto + 1):
-            for size in sizes[piece[end - 1]]:
-                start = end - size
-                if start < 0:
-                    continue
-                token = ids.get(piece[start:end])
-                if token is None or size > 1 and self.halves(piece[start:end]) is None:
-                    continue
-                if start:
-                    before = last[start - 1]
-                    ok = known.get(before << 32 | token)
-                    if not (fits(before, token) if ok is None else ok):
-                        continue
-                last.append(token)
-                break
-            else:
+        known, done = self._fits, len(last)
+        for end, (token, size) in self.matches.iter(piece[:upto].decode("latin-1"), max(0, done + 1 - self.longest)):
+            if end < done:
+                continue
+            if end > done:
                 raise ValueError("the vocabulary lacks a byte")
+            if end >= size:
+                before = last[end - size]
+                ok = known.get(before << 32 | token)
+                if not (self.fits(before, token) if ok is None else ok):
+                    continue
+            elif size > 1 and self.halves(piece[:size]) is None:
+                continue
+            last.append(token)
+            done += 1
 
     def trace(self, last: list[int]) -> list[int]:
         out, at = [], len(last)
@@ -155,6 +156,11 @@ class Prefixes:
         return [whole] if whole is not None else self.vocabulary.trace(self.last)
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Whole texts: each match of the pattern is encoded separately, pieces seen before come from a bounded cache."""
 
@@ -164,8 +170,8 @@ class Encoder:
         outer = self
 
         class Pieces(dict):
-            def __missing__(self, piece: str) -> list[int]:
-                found = outer.vocabulary.encode_piece(piece.encode("utf-8", "replace"))
+            def __missing__(self, piece: str) -> bytes:
+                found = packed(outer.vocabulary.encode_piece(piece.encode("utf-8", "replace")))
                 if len(piece) <= 64:
                     if len(self) >= CACHED_PIECES:
                         self.clear()
@@ -174,7 +180,7 @@ class Encoder:
 
         class Counts(dict):
             def __missing__(self, piece: str) -> int:
-                found = len(outer.pieces[piece])
+                found = len(outer.pieces[piece]) // 4
                 if len(piece) <= 64:
                     if len(self) >= CACHED_PIECES:
                         self.clear()
@@ -183,14 +189,15 @@ class Encoder:
 
         self.pieces, self.counts = Pieces(), Counts()
 
-    def encode(self, text: str | None) -> array:
-        return array("I", chain.from_iterable(map(self.pieces.__getitem__, self.find(text or ""))))
+    def encode(self, text: str | None) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.pieces.__getitem__, self.find(text or "")))
 
     def count(self, text: str | None) -> int:
         return sum(map(self.counts.__getitem__, self.find(text or "")))
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.vocabulary.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @functools.cache
@@ -213,17 +220,11 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, decode:
     fields += [T.StructField("decoded", T.BinaryType())] * decode
 
     def make():
-        import sys
-
         enc = encoder(vocabulary_path(path))
 
         def work(texts: list) -> list:
             ids = [enc.encode(x) for x in texts]
-            if sys.byteorder == "big":
-                for x in ids:
-                    x.byteswap()
-            packed = [x.tobytes() for x in ids]
-            return [[len(x) for x in ids], packed] + ([[enc.decode(array("I", p)) for p in packed]] if decode else [])
+            return [[len(x) // 4 for x in ids], ids] + ([[enc.decode(x) for x in ids]] if decode else [])
 
         return work
 
