@@ -125,10 +125,11 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def salted_pairs(pairs: DataFrame, docs: DataFrame, per_group: int, verify: Callable, schema: str) -> DataFrame:
-    """Run verify(centre_row, member_rows) over groups of one centre and about per_group members.
+    """Rows of verify(centre, members) over groups of one centre and about per_group members, each a dict of its columns.
 
-    pairs: member, centre (ids of docs) and more columns; docs: id, text. A centre's text is repeated once
-    for each per_group members, so no group grows with the number of a centre's members.
+    pairs: member, centre (ids of docs) and more columns; docs: id, text. A centre's text is repeated once for each
+    per_group members, so no group grows with the number of a centre's members. Groups stream through sorted partitions:
+    a task holds one group at a time.
     """
     extra = [c for c in pairs.columns if c not in ("member", "centre")]
     sizes = pairs.groupBy("centre").agg(F.count("*").alias("links"))
@@ -143,13 +144,44 @@ def salted_pairs(pairs: DataFrame, docs: DataFrame, per_group: int, verify: Call
         parts.join(docs.select(F.col("id").alias("centre"), "text"), "centre")
         .select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"), "text", *[F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in extra])
     )
-    rows = members.unionByName(centres)
+    rows = members.unionByName(centres).repartition("centre", "salt").sortWithinPartitions("centre", "salt", F.asc_nulls_first("member"))
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
-    def group(pdf):
-        is_centre = pdf["member"].isna()
-        return verify(pdf[is_centre].iloc[0], pdf[~is_centre])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(found: list) -> pa.RecordBatch:
+            columns = zip(*found, strict=True) if found else [[]] * len(arrow)
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return rows.groupBy("centre", "salt").applyInPandas(group, schema)
+        centre, members, found = None, [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["member"] is None:
+                    if members:
+                        found += verify(centre, members)
+                    centre, members = row, []
+                else:
+                    members.append(row)
+                if len(found) > 4096:
+                    yield made(found)
+                    found = []
+        if members:
+            found += verify(centre, members)
+        yield made(found)
+
+    return rows.mapInArrow(run, schema)
+
+
+def likely(df: DataFrame, key: str, wanted: DataFrame, bits: int = 24) -> DataFrame:
+    """df without most rows whose key wanted (a column of the same name) lacks: a bitmap of 2^bits hashes, broadcast.
+
+    The bitmap has 2^(bits - 6) words at most, whatever the data (4 MB for 24 bits); where it is full it lets every row
+    pass. An exact semi-join must follow.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    word, bit = F.floor(slot / 64).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("_bit")
+    words = wanted.select(word, bit).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = df.select("*", word, bit).join(F.broadcast(words), "_word")
+    return marked.where(F.col("_bit").bitwiseAND(F.col("_bits")) != 0).drop("_word", "_bit", "_bits")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamspark.llm.common import components, materialize, read, salted_pairs, scramble, shingles, with_arrow_columns, word_hashes
+from loamspark.llm.common import components, likely, materialize, read, salted_pairs, scramble, shingles, with_arrow_columns, word_hashes
 
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 2
@@ -150,8 +150,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     reps = reps.select("words", F.col("r.doc_id").alias("rep"), "n_copies")
     # Texts are gathered once, for all that share a band with another; a merge join, so that the plan is the same at any size.
     crowded = materialize(keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
-    wanted = keyed.join(crowded, "band", "left_semi").select("id").distinct()
-    needed = materialize(texts.join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    wanted = materialize(keyed.join(crowded, "band", "left_semi").select("id").distinct())
+    needed = materialize(likely(texts, "id", wanted).join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
     keyed = materialize(keyed.join(crowded, "band", "left_semi"))
     links = None
     open_ = None
@@ -165,8 +165,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
         def verify(centre, members):
             a = features(centre["text"], idf.value)
-            kept = [(m, centre["centre"], s) for m, t in zip(members["member"], members["text"], strict=True) if (s := weighted_jaccard(a, features(t, idf.value))) >= similarity]
-            return pd.DataFrame(kept, columns=["a", "b", "similarity"])
+            return [(m["member"], m["centre"], s) for m in members if (s := weighted_jaccard(a, features(m["text"], idf.value))) >= similarity]
 
         kind = docs.schema["doc_id"].dataType.simpleString()
         found = materialize(salted_pairs(pairs, needed, GROUP, verify, f"a {kind}, b {kind}, similarity double"))

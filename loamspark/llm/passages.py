@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql import types as T
 
-from loamspark.llm.common import SHINGLE, components, materialize, read, salted_pairs, scramble, shingles
+from loamspark.llm.common import SHINGLE, components, likely, materialize, read, salted_pairs, scramble, shingles
 
 SIMILARITY = 0.8
 #: Least words of a passage, hash functions, and how many of them must share a window at one place.
@@ -56,28 +55,34 @@ _SEEDS = scramble(np.arange(101, 101 + HASHES, dtype=np.uint64))
 
 
 def _windows_of(docs: DataFrame, least: int) -> DataFrame:
-    """doc, key (hash function and its minimum), left, place, right of every compact window of docs (doc_id, text)."""
-    shape = T.StructType([docs.schema["doc_id"]] + [T.StructField("key", T.LongType())] + [T.StructField(c, T.IntegerType()) for c in ("hash", "left", "place", "right")])
+    """doc_id, key, place, again of every compact window of docs (doc_id, text).
+
+    key: the window's minimum, its two low bits the hash function. again: the document had the key before. The windows'
+    ends are not carried: verification finds the stretches around the places that documents share.
+    """
+    shape = T.StructType([docs.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("again", T.BooleanType())])
     arrow = to_arrow_schema(shape)
 
     def run(batches):
         for batch in batches:
-            rows, keys, hashes, spans = [], [], [], []
+            rows, keys, places, again = [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 s = shingles(text)
                 if len(s) < least:
                     continue
                 for k, seed in enumerate(_SEEDS):
                     h = scramble(s ^ seed)
-                    found = compact_windows(h, least)
-                    rows += [i] * len(found)
-                    hashes += [k] * len(found)
-                    spans += found
-                    keys.append(scramble(h[[c for _, c, _ in found]] + np.uint64(k)))
+                    at = np.array([c for _, c, _ in compact_windows(h, least)])
+                    key = scramble(h[at]) & ~np.uint64(3) | np.uint64(k)
+                    rows.append(np.full(len(at), i))
+                    keys.append(key)
+                    places.append(at)
+                    first = np.ones(len(at), bool)
+                    first[np.unique(key, return_index=True)[1]] = False
+                    again.append(first)
             if rows:
-                at = np.array(spans, np.int32)
-                columns = [batch.column(0).take(pa.array(rows)), pa.array(np.concatenate(keys).view(np.int64)), pa.array(hashes, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(at[:, c]) for c in range(3)], schema=arrow)
+                columns = [batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(again))]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return docs.select("doc_id", "text").mapInArrow(run, shape)
 
@@ -166,36 +171,37 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, similarity: float = S
     least = words - SHINGLE + 1
     doc = docs.schema["doc_id"].dataType.simpleString()
     windows = materialize(_windows_of(docs.where(F.col("doc_id").isNotNull()), least))
-    at = F.struct("doc_id", "place")
-    shared = windows.groupBy("key").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first.doc_id != last.doc_id")
-    links = materialize(windows.join(shared, "key").withColumns({"centre": F.col("first.doc_id"), "c_place": F.col("first.place")}))
-    # Texts are gathered once, for all that share a window; a merge join, so that the plan is the same at any size.
-    linked = links.select(F.col("doc_id").alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(linked.hint("merge"), "id", "left_semi")
+    once = windows.where("not again")
+    shared = once.groupBy("key").agg(F.min("doc_id").alias("first"), F.min_by("place", "doc_id").alias("c_place"), F.count("*").alias("n")).where("n > 1").drop("n")
+    links = materialize(windows.select("key", "doc_id", "place").join(shared, "key").withColumnRenamed("first", "centre"))
+    hash_bit = F.call_function("shiftleft", F.lit(1), F.col("key").bitwiseAND(F.lit(3)).cast("int"))
+    # Texts are gathered once, for all that share windows of enough hash functions; a merge join, so that the plan is the
+    # same at any size.
+    linked = materialize(links.groupBy(F.col("doc_id").alias("id")).agg(F.bit_count(F.bit_or(hash_bit)).alias("n")).where(F.col("n") >= ENOUGH).select("id"))
+    texts = likely(docs.select(F.col("doc_id").alias("id"), "text"), "id", linked).join(linked.hint("merge"), "id", "left_semi")
     texts = materialize(texts.groupBy("id").agg(F.min("text").alias("text")))
 
     def verify(centre, members):
         theirs, rows, own = shingles(centre["text"]), [], []
         known = np.unique(theirs)
-        for member, text, anchors in zip(members["member"], members["text"], members["anchors"], strict=True):
-            places = [(x["hash"], x["place"], x["c_place"]) for x in anchors]
-            for a, b, c, d, score in passages(shingles(text), theirs, places, least, similarity, known):
-                rows.append((member, a, b + SHINGLE - 1, centre["centre"], score))
-                own.append((c, d + SHINGLE - 1, member, score))
+        for m in members:
+            places = [(x["key"] & 3, x["place"], x["c_place"]) for x in m["anchors"]]
+            for a, b, c, d, score in passages(shingles(m["text"]), theirs, places, least, similarity, known):
+                rows.append((m["member"], a, b + SHINGLE - 1, centre["centre"], score))
+                own.append((c, d + SHINGLE - 1, m["member"], score))
         merged: list[list] = []
         for start, end, member, score in sorted(own):
             if merged and start <= merged[-1][1]:
                 merged[-1][1] = max(end, merged[-1][1])
             else:
                 merged.append([start, end, member, score])
-        rows += [(centre["centre"], s, e, m, x) for s, e, m, x in merged]
-        return pd.DataFrame(rows, columns=["doc_id", "start", "end", "other_id", "similarity"])
+        return rows + [(centre["centre"], s, e, m, x) for s, e, m, x in merged]
 
     def verified(links: DataFrame) -> DataFrame:
-        anchor = F.struct("hash", "place", "c_place")
-        pairs = links.where("doc_id != centre").groupBy(F.col("doc_id").alias("member"), "centre").agg(F.collect_list(anchor).alias("anchors"))
+        pairs = links.where("doc_id != centre").groupBy(F.col("doc_id").alias("member"), "centre").agg(F.collect_list(F.struct("key", "place", "c_place")).alias("anchors"))
         # Enough hash functions must share windows: a lone collision is no candidate.
-        pairs = materialize(pairs.where(F.size(F.array_distinct(F.transform("anchors", lambda a: a["hash"]))) >= ENOUGH))
+        functions = F.array_distinct(F.transform("anchors", lambda a: a["key"].bitwiseAND(F.lit(3))))
+        pairs = materialize(pairs.where(F.size(functions) >= ENOUGH))
         return materialize(salted_pairs(pairs, texts, GROUP, verify, f"doc_id {doc}, start int, end int, other_id {doc}, similarity double"))
 
     def without(links: DataFrame, found: DataFrame) -> DataFrame:
@@ -203,14 +209,19 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, similarity: float = S
         spans = found.select("doc_id", "start", "end").distinct()
         return links.join(spans, (links["doc_id"] == spans["doc_id"]) & links["place"].between(spans["start"], spans["end"] - SHINGLE), "left_anti")
 
-    # The first document of a key is the centre of all others; windows of these that it does not explain meet the last one,
-    # and what is then left of a key, besides those two, meets its own first one.
+    def centred(links: DataFrame, pick, pick_by) -> DataFrame:
+        """links with another centre for each key: the first or last of the documents that are left."""
+        one = links.groupBy("key", "doc_id").agg(F.min("place").alias("place"))
+        centres = one.groupBy("key").agg(pick("doc_id").alias("centre"), pick_by("place", "doc_id").alias("c_place"), F.count("*").alias("n")).where("n > 1").drop("n")
+        return links.join(centres, "key")
+
+    # The first document of a key is the centre of all others; windows of these that it does not explain meet the last of
+    # those left, and what is then left of a key, besides these two, meets its own first one.
     found = verified(links)
-    open_ = materialize(without(links.where("doc_id != first.doc_id"), found).withColumns({"centre": F.col("last.doc_id"), "c_place": F.col("last.place")}))
+    open_ = materialize(centred(without(links.where("doc_id != centre"), found).drop("centre", "c_place"), F.max, F.max_by))
     second = verified(open_)
-    rest = without(open_.where("doc_id != last.doc_id"), second).drop("centre", "c_place")
-    own = rest.groupBy("key").agg(F.min(at).alias("own"), F.max("doc_id").alias("own_last")).where("own.doc_id != own_last")
-    third = verified(rest.join(own, "key").withColumns({"centre": F.col("own.doc_id"), "c_place": F.col("own.place")}))
+    rest = without(open_.where("doc_id != centre"), second).drop("centre", "c_place")
+    third = verified(centred(rest, F.min, F.min_by))
     return found.unionByName(second).unionByName(third)
 
 
