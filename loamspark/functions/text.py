@@ -145,12 +145,16 @@ def ambiguity(text) -> Column:
 
 def knowledge_type(text) -> Column:
     """(type, confidence) of the best family of patterns: its largest weight and 0.15 for each further match; insight if none."""
-    options = []
-    for order, (kind, rules) in enumerate(KNOWLEDGE.items()):
-        hits = [F.when(F.regexp_like(text, F.lit("(?im)" + p)), w) for p, w in rules]
-        n = sum((F.when(h.isNotNull(), 1).otherwise(0) for h in hits), F.lit(0))
-        best = F.greatest(*hits)
-        options.append(F.when(n > 0, F.struct(F.round(F.least(F.lit(1.0), best + (n - 1) * 0.15), 6).alias("confidence"), F.lit(-order).alias("order"), F.lit(kind).alias("type"))))
+
+    def scored(hits: Column, order: int, kind: str) -> Column:
+        value = F.round(F.least(F.lit(1.0), F.array_max(hits) + (F.size(hits) - 1) * 0.15), 6)
+        return F.when(F.size(hits) > 0, F.struct(value.alias("confidence"), F.lit(-order).alias("order"), F.lit(kind).alias("type")))
+
+    def family(order: int, kind: str, rules) -> Column:
+        hits = F.array_compact(F.array(*[F.when(F.regexp_like(text, F.lit("(?im)" + p)), w) for p, w in rules]))
+        return F.transform(F.array(hits), lambda h: scored(h, order, kind))[0]  # each pattern runs once
+
+    options = [family(i, kind, rules) for i, (kind, rules) in enumerate(KNOWLEDGE.items())]
     top = F.greatest(*options)
     return F.when(top["confidence"] >= 0.3, F.struct(top["type"].alias("type"), top["confidence"].alias("confidence"))).otherwise(F.struct(F.lit("insight").alias("type"), F.lit(0.5).alias("confidence")))
 

@@ -14,7 +14,7 @@ from loamspark.plans.tables import MEMORIES, memories, read
 
 TOKENS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
 #: Vector searches ask with every vector whose id is divisible by 20, against all.
-ASK = F.col("vec_id") % 20 == 0
+ASK = "vec_id % 20 = 0"
 
 KEYWORD = f"""q AS (SELECT item_id AS query_id, {TOKENS.format("text")} AS t FROM benchmark),
 qt AS (SELECT query_id, len(t) AS n, unnest(t) AS token FROM q),
