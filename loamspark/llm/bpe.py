@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from loamspark.llm.common import read, with_arrow_columns
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
-CACHED_PIECES = 600_000
-CACHED_PAIRS = 2_000_000
+CACHED_PIECES = 250_000
+CACHED_PAIRS = 400_000
 
 
 class Vocabulary:

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 SHINGLE = 5
+#: Rows of an Arrow batch that are worked on at once.
+PIECE = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,9 +53,7 @@ def with_arrow_columns(df: DataFrame, source: str, fields: list[T.StructField],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(i, PIECE) for b in batches for i in range(0, b.num_rows, PIECE)):
             work = work or make()
             made = work(batch.column(batch.schema.get_field_index(source)).to_pylist())
             columns = [batch.column(i) for i, c in enumerate(batch.schema.names) if c not in names]
