@@ -14,8 +14,8 @@ from loamspark.llm.cnn import ByteCNN
 from loamspark.llm.common import bounded_sample, read, with_arrow_columns
 
 WINDOW = 256
-#: Bound of the labelled rows that the model is fitted on, and of the windows taken from each.
-SAMPLE_ROWS, SAMPLE_WINDOWS, EPOCHS = 4000, 4, 4
+#: Bound of the labelled rows that the model is fitted on, windows taken from each, and gradient steps of so many windows.
+SAMPLE_ROWS, SAMPLE_WINDOWS, STEPS, BATCH = 4000, 4, 900, 128
 UNDETERMINED = "und"
 
 
@@ -47,7 +47,8 @@ class LanguageModel:
                 short[int(rng.integers(16, WINDOW)) :] = 0
                 xs.append(short)
                 ys.append(languages.index(lang))
-        return cls(languages, ByteCNN(len(languages), seed).fit(np.array(xs), np.array(ys), EPOCHS, seed))
+        epochs = -(-STEPS * BATCH // len(xs))
+        return cls(languages, ByteCNN(len(languages), seed).fit(np.array(xs), np.array(ys), epochs, seed, BATCH))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score: the softmax of the mean log probabilities over a text's windows, weighted by their bytes."""
