@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from loamspark.llm.common import components, likely, materialize, read, salted_pairs, scramble, shingles, with_arrow_columns, word_hashes
 
@@ -19,8 +20,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 10, 2
 #: Slots of the document-frequency table (fixed: four bytes each, whatever the corpus), values in one of its rows.
 SLOTS, SLICE = 1 << 20, 1 << 14
-#: Members that one verification group holds, and rounds in which members that failed meet another centre.
-GROUP, ROUNDS = 64, 3
+#: Members that one verification group holds; members and characters that a block of a band holds; columns multiplied at once.
+GROUP, BLOCK, BLOCK_CHARS, COLUMNS = 64, 512, 4_000_000, 4096
 POOL = 1 << 16
 
 
@@ -125,7 +126,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     Documents with the same words in the same order are one exact class. Of each exact class one document is signed;
     documents that share a band are compared with the band's centre by weighted Jaccard similarity, those that fail meet
-    further centres, and classes are the components of the links found. Null texts and texts without words link with
+    all others of their bands block by block, and classes are the components of the links found. Null texts and texts without words link with
     nothing and keep themselves. Rows that repeat a doc_id with another text are compared by its smallest text. Columns
     beside doc_id and text are ignored.
     """
@@ -153,30 +154,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     wanted = materialize(keyed.join(crowded, "band", "left_semi").select("id").distinct())
     needed = materialize(likely(texts, "id", wanted).join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
     keyed = materialize(keyed.join(crowded, "band", "left_semi"))
-    links = None
-    open_ = None
-    for turn in range(ROUNDS):
-        # In turn 0 the smallest id of a band is its centre, later one drawn by hash, for those that no centre has taken.
-        order = F.struct(F.col("id").alias("k"), "id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)).alias("k"), "id")
-        pool = keyed if turn == 0 else keyed.join(materialize(open_.select("band").distinct()), "band", "left_semi")
-        centres = pool.groupBy("band").agg(F.min(order)["id"].alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
-        pairs = (keyed if turn == 0 else open_).join(centres, "band").where("id != centre")
-        pairs = materialize(pairs.select(F.col("id").alias("member"), "centre").distinct())
-
-        def verify(centre, members):
-            a = features(centre["text"], idf.value)
-            return [(m["member"], m["centre"], s) for m in members if (s := weighted_jaccard(a, features(m["text"], idf.value))) >= similarity]
-
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        found = materialize(salted_pairs(pairs, needed, GROUP, verify, f"a {kind}, b {kind}, similarity double"))
-        links = found if links is None else links.unionByName(found)
-        # Still open: ids that share a band with more than its centre and have not been linked by it.
-        taken = found.select(F.col("a").alias("id"), F.col("b").alias("centre"))
-        base = keyed if turn == 0 else open_
-        left = base.join(crowded.where("n > 2"), "band", "left_semi").join(centres, "band").where("id != centre").join(taken, ["id", "centre"], "left_anti").select("id", "band")
-        open_ = materialize(left)
-        if not open_.take(1):
-            break
+    # The smallest id of a band is its centre, which meets every other member.
+    centres = keyed.groupBy("band").agg(F.min("id").alias("centre"))
+    met = materialize(keyed.join(centres, "band").where("id != centre").select("band", "id", "centre"))
+
+    def verify(centre, members):
+        a = features(centre["text"], idf.value)
+        return [(m["member"], m["centre"], s) for m in members if (s := weighted_jaccard(a, features(m["text"], idf.value))) >= similarity]
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    pairs = materialize(met.select(F.col("id").alias("member"), "centre").distinct())
+    found = materialize(salted_pairs(pairs, needed, GROUP, verify, f"a {kind}, b {kind}, similarity double"))
+    taken = found.select(F.col("a").alias("id"), F.col("b").alias("centre"), F.lit(False).alias("open"))
+    met = met.join(taken, ["id", "centre"], "left").select("band", "id", F.coalesce("open", F.lit(True)).alias("open"))
+    links = found.unionByName(block_links(materialize(met), needed, idf, similarity, kind))
     joined = components(links.select("a", "b"))
     classes = reps.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("words", F.coalesce("component", "rep").alias("class_id"), "n_copies")
     out = signed.where("words is not null").join(classes, "words").select("doc_id", "class_id", "n_copies")
@@ -184,6 +175,98 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return out.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
+def block_links(met: DataFrame, texts: DataFrame, idf, similarity: float, kind: str) -> DataFrame:
+    """Links (a, b, similarity) that join all members of a band which are similar, where a member is still open.
+
+    met: band, id, open (not linked with the band's centre), without the centre itself; texts: id, text. Open members are dealt
+    into blocks of bounded size, linked ones into others, and every pair of blocks with an open one is compared in a task of
+    its own, so no pair with an open member is left out and no task grows with a band. Of the links in a pair of blocks a
+    spanning forest is returned. Bands of the same members are compared once.
+    """
+    sums = [F.sum(F.xxhash64(F.lit(n), "id", "open").cast("decimal(38,0)")).alias(f"sum{n}") for n in (1, 2)]
+    bands = met.groupBy("band").agg(F.count("*").alias("n"), F.count_if("open").alias("n_open"), *sums).where("n > 1 and n_open > 0")
+    bands = materialize(bands.groupBy("n", "n_open", "sum1", "sum2").agg(F.min("band").alias("band")).select("band"))
+    rest = materialize(met.join(bands, "band").join(texts.select("id", F.length("text").alias("chars")), "id"))
+    blocks = lambda n, c: F.greatest(F.ceil(n / BLOCK), F.ceil(c / BLOCK_CHARS)).cast("int")
+    mine = lambda x: F.when(F.col("open"), x)
+    other = lambda x: F.when(~F.col("open"), x)
+    counts = rest.groupBy("band").agg(
+        blocks(F.count(mine(F.lit(1))), F.sum(mine(F.col("chars")))).alias("p"),
+        F.coalesce(blocks(F.count(other(F.lit(1))), F.sum(other(F.col("chars")))), F.lit(0)).alias("q"),
+    )
+    dealt = rest.join(counts, "band").withColumn("block", F.when(F.col("open"), F.pmod(F.xxhash64("id"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.xxhash64("id"), F.greatest("q", F.lit(1)))))
+    last = F.when(F.col("open"), F.col("p") + F.col("q")).otherwise(F.col("p")) - 1
+    dealt = dealt.select("id", "band", "block", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    cells = dealt.select("id", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).join(texts, "id")
+    rows = cells.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "id")
+    arrow = to_arrow_schema(T._parse_datatype_string(f"a {kind}, b {kind}, similarity double"))
+
+    def run(batches):
+        at, ids, units = None, [], []
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*found, strict=True), arrow, strict=True)], schema=arrow)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                here = (row["band"], row["lo"], row["hi"])
+                if here != at:
+                    if found := spanning_links(ids, units, similarity):
+                        yield made()
+                    at, ids, units = here, [], []
+                ids.append(row["id"])
+                units.append(unit_features(row["text"], idf.value))
+        if found := spanning_links(ids, units, similarity):
+            yield made()
+
+    return rows.mapInArrow(run, f"a {kind}, b {kind}, similarity double")
+
+
+def unit_features(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One column for each occurrence of a shingle (the first, the second, ...) and its weight, so that common weight is a dot product."""
+    keys, tf = np.unique(shingles(text), return_counts=True)
+    nth = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
+    weights = np.repeat(idf[(keys & np.uint64(SLOTS - 1)).astype(np.intp)], tf)
+    return np.repeat(keys, tf) + scramble(nth.astype(np.uint64)), weights
+
+
+def spanning_links(ids: list, units: list[tuple[np.ndarray, np.ndarray]], similarity: float) -> list[tuple]:
+    """(a, b, weighted Jaccard) of enough links to connect all ids whose links (at least similarity) connect them."""
+    n = len(ids)
+    if n < 2:
+        return []
+    sizes = [len(c) for c, _ in units]
+    columns, weights, owners = np.concatenate([c for c, _ in units]), np.concatenate([w for _, w in units]), np.repeat(np.arange(n), sizes)
+    totals = np.bincount(owners, weights, n)
+    _, first, column, count = np.unique(columns, return_index=True, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    place = np.full(len(count), -1)
+    place[shared] = np.arange(len(shared))
+    column, weight = place[column], weights[first[shared]].astype(float)
+    order = np.argsort(column, kind="stable")
+    order = order[np.searchsorted(column[order], 0) :]
+    owners, column = owners[order], column[order]
+    common = np.zeros((n, n))
+    for at in range(0, len(shared), COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((n, min(COLUMNS, len(shared) - at)))
+        part[owners[lo:hi], column[lo:hi] - at] = 1
+        common += (part * weight[at : at + COLUMNS]) @ part.T
+    union = totals[:, None] + totals[None] - common
+    score = np.divide(common, union, out=np.zeros_like(common), where=union > 0)
+    out, fresh = [], np.ones(n, bool)
+    for start in range(n):
+        stack = [start] if fresh[start] else []
+        fresh[start] = False
+        while stack:
+            i = stack.pop()
+            for j in np.flatnonzero(fresh & (score[i] >= similarity)).tolist():
+                fresh[j] = False
+                stack.append(j)
+                out.append((ids[i], ids[j], float(score[i, j])))
+    return out
+
+
 def _fingerprint(text: str | None) -> str | None:
     words = word_hashes(text)
     return xxhash.xxh3_128_hexdigest(words.tobytes()) if len(words) else None

@@ -205,6 +205,50 @@ def test_near_duplicates(spark, odd):
     assert minhash.drop_near_duplicates(odd).columns == odd.columns
 
 
+def brute_classes(rows, idf):
+    """The smallest id reachable by links of 0.8 or more, over all pairs."""
+    made, root = [minhash.features(t, idf) for _, t in rows], {i: i for i, _ in rows}
+    for i in range(len(rows)):
+        for j in range(i):
+            if minhash.weighted_jaccard(made[i], made[j]) >= minhash.SIMILARITY:
+                a, b = root[rows[i][0]], root[rows[j][0]]
+                root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+    return root
+
+
+def crowded(n, seed):
+    """Families that share most of one common text, so that bands hold many documents their centre is not similar to."""
+    rng = np.random.default_rng(seed)
+    common_words = [f"c{k}" for k in range(60)]
+    rows = []
+    for i in range(n):
+        family = [f"f{i % (n // 3)}x{k}" for k in range(45)]
+        edited = family[:]
+        edited[int(rng.integers(45))] = f"e{i}"
+        rows.append((i, " ".join(common_words + edited)))
+    return rows
+
+
+def test_spanning_links_connect_what_all_pairs_do():
+    idf = np.linspace(1, 1.25, minhash.SLOTS, dtype=np.float32)
+    rows = [*crowded(30, 1), (90, ""), (91, "word " * 400), (92, "word " * 420)]
+    links = minhash.spanning_links([i for i, _ in rows], [minhash.unit_features(t, idf) for _, t in rows], minhash.SIMILARITY)
+    root = {i: i for i, _ in rows}
+    for a, b, score in links:
+        assert score == pytest.approx(minhash.weighted_jaccard(minhash.features(dict(rows)[a], idf), minhash.features(dict(rows)[b], idf)), abs=1e-5)
+        root = {k: min(root[a], root[b]) if v in (root[a], root[b]) else v for k, v in root.items()}
+    assert root == brute_classes(rows, idf) and minhash.spanning_links([], [], 0.8) == []
+
+
+def test_members_no_centre_takes_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    rows = crowded(60, 2)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(frame).collect()}
+    want = brute_classes(rows, minhash.idf_table(frame))
+    assert got == want and len(set(want.values())) == 20
+
+
 def test_weighted_sampling_matches_similarity():
     rng = np.random.default_rng(3)
     keys = np.sort(rng.integers(0, 1 << 62, 400).astype(np.uint64))
