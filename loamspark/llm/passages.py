@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,8 @@ SIMILARITY = 0.8
 WORDS, HASHES, ENOUGH = 50, 4, 2
 #: Words that may be missing between matching stretches, and how far two anchors' alignments may differ.
 GAP, DRIFT = 10, 8
-GROUP = 64
+#: Members of a centre in one group, documents in a block of the exact remainder, and columns of a block's matrix at once.
+GROUP, BLOCK, COLUMNS = 64, 512, 4096
 
 
 def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -165,8 +168,8 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, similarity: float = S
     """One row for each side of each verified link: doc_id, start, end (words, end exclusive), other_id, similarity.
 
     Documents that share a window's minimum are linked to one of them, hash function by hash function; pairs linked by
-    enough hash functions are verified on their texts. Null texts, and texts shorter than `words`,
-    have no windows. Rows that repeat a doc_id count as one document with its smallest text. Other columns are ignored.
+    enough hash functions are verified on their texts. Members of a window that its centre does not explain meet all its
+    other members block by block (shared_pairs). Null texts, and texts shorter than `words`, have no windows. Rows that repeat a doc_id count as one document with its smallest text. Other columns are ignored.
     """
     least = words - SHINGLE + 1
     doc = docs.schema["doc_id"].dataType.simpleString()
@@ -201,28 +204,133 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, similarity: float = S
         pairs = links.where("doc_id != centre").groupBy(F.col("doc_id").alias("member"), "centre").agg(F.collect_list(F.struct("key", "place", "c_place")).alias("anchors"))
         # Enough hash functions must share windows: a lone collision is no candidate.
         functions = F.array_distinct(F.transform("anchors", lambda a: a["key"].bitwiseAND(F.lit(3))))
-        pairs = materialize(pairs.where(F.size(functions) >= ENOUGH))
+        return checked(pairs.where(F.size(functions) >= ENOUGH))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs)
         return materialize(salted_pairs(pairs, texts, GROUP, verify, f"doc_id {doc}, start int, end int, other_id {doc}, similarity double"))
 
-    def without(links: DataFrame, found: DataFrame) -> DataFrame:
-        """Links whose place no verified passage of their document covers."""
-        spans = found.select("doc_id", "start", "end").distinct()
-        return links.join(spans, (links["doc_id"] == spans["doc_id"]) & links["place"].between(spans["start"], spans["end"] - SHINGLE), "left_anti")
+    found = verified(links)
+    # A member's place is explained if a passage it shares with the window's own centre covers it; a centre's later places,
+    # if any of its passages does.
+    spans = found.select(F.col("doc_id").alias("id"), "start", "end", F.col("other_id").alias("centre")).distinct()
+    covered = (F.col("l.doc_id") == F.col("s.id")) & F.col("l.place").between(F.col("s.start"), F.col("s.end") - SHINGLE) & ((F.col("l.centre") == F.col("s.centre")) | (F.col("l.centre") == F.col("l.doc_id")))
+    later = links.where("doc_id != centre or place != c_place")
+    left = later.alias("l").join(spans.alias("s"), covered, "left_anti").select("key", "doc_id").distinct().withColumn("open", F.lit(True))
+    left = materialize(left.join(linked.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"))
+    members = links.groupBy("key", "doc_id").agg(F.sort_array(F.collect_list("place")).alias("places")).join(linked.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    members = members.join(left.hint("merge"), ["key", "doc_id"], "left").select("key", F.col("doc_id").alias("id"), "places", F.coalesce("open", F.lit(False)).alias("open"))
+    return found.unionByName(checked(shared_pairs(materialize(members), doc)))
+
+
+def shared_pairs(members: DataFrame, kind: str) -> DataFrame:
+    """member, centre (its smaller document) and anchors of all pairs that share windows of enough hash functions, and at least one window that is open for one of them.
+
+    members: key, id, places, open. Open members of a key are dealt into blocks of bounded size, others into others of their
+    own, and every pair of blocks with an open one is compared in a task of its own, so no task grows with a key. Each row
+    brings all keys of its document, so functions are counted over all keys. Keys of the same members are compared once.
+    """
+    sums = [F.sum(F.xxhash64(F.lit(n), "id", "open").cast("decimal(38,0)")).alias(f"sum{n}") for n in (1, 2)]
+    keys = members.groupBy("key").agg(F.count("*").alias("n"), F.count_if("open").alias("n_open"), *sums).where("n > 1 and n_open > 0")
+    keys = keys.groupBy("n", "n_open", "sum1", "sum2").agg(F.min("key").alias("key"))
+    keys = materialize(keys.select("key", F.ceil(F.col("n_open") / BLOCK).cast("int").alias("p"), F.ceil((F.col("n") - F.col("n_open")) / BLOCK).cast("int").alias("q")))
+    dealt = members.select("key", "id", "open").join(keys, "key")
+    dealt = dealt.withColumn("block", F.when(F.col("open"), F.pmod(F.xxhash64("id"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.xxhash64("id"), F.greatest("q", F.lit(1)))).cast("int"))
+    last = F.when(F.col("open"), F.col("p") + F.col("q")).otherwise(F.col("p")) - 1
+    dealt = materialize(dealt.select("id", "key", "open", "block", F.explode(F.sequence(F.lit(0), last)).alias("other")))
+    # Keys that no other document of these shares are of no use for any pair.
+    used = members.join(dealt.select("id").distinct(), "id", "left_semi")
+    met = keys.select("key", F.lit(True).alias("met"))
+    used = used.join(met.hint("merge"), "key", "left").withColumn("mark", F.when(F.col("met").isNull(), 0).when(F.col("open"), 2).otherwise(1).cast("tinyint"))
+    own = used.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("key", "places", "mark"))).alias("own"))
+    cells = dealt.select("id", "key", "open", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).join(own, "id")
+    rows = cells.select("key", "lo", "hi", "id", "open", "block", F.col("own.key").alias("keys"), F.col("own.places").alias("places"), F.col("own.mark").alias("marks"))
+    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
+    shape = f"member {kind}, centre {kind}, anchors array<struct<key:bigint,place:int,c_place:int>>"
+    arrow = to_arrow_schema(T._parse_datatype_string(shape))
 
-    def centred(links: DataFrame, pick, pick_by) -> DataFrame:
-        """links with another centre for each key: the first or last of the documents that are left."""
-        one = links.groupBy("key", "doc_id").agg(F.min("place").alias("place"))
-        centres = one.groupBy("key").agg(pick("doc_id").alias("centre"), pick_by("place", "doc_id").alias("c_place"), F.count("*").alias("n")).where("n > 1").drop("n")
-        return links.join(centres, "key")
+    def run(batches):
+        at, cell, found = None, [], []
 
-    # The first document of a key is the centre of all others; windows of these that it does not explain meet the last of
-    # those left, and what is then left of a key, besides these two, meets its own first one.
-    found = verified(links)
-    open_ = materialize(centred(without(links.where("doc_id != centre"), found).drop("centre", "c_place"), F.max, F.max_by))
-    second = verified(open_)
-    rest = without(open_.where("doc_id != centre"), second).drop("centre", "c_place")
-    third = verified(centred(rest, F.min, F.min_by))
-    return found.unionByName(second).unionByName(third)
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*found, strict=True), arrow, strict=True)], schema=arrow)
+
+        for batch in batches:
+            heads = list(zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True))
+            keys, places, marks = batch.column(6), batch.column(7), batch.column(8)
+            for i, (key, lo, hi, name, is_open, block) in enumerate(heads):
+                if (key, lo, hi) != at:
+                    for pair in cell_pairs(cell, at and at[0]):
+                        found.append(pair)
+                        if len(found) > 1024:
+                            yield made()
+                            found = []
+                    at, cell = (key, lo, hi), []
+                cell.append((name, is_open, block, keys[i].values.to_numpy(), places[i].values, marks[i].values.to_numpy()))
+        for pair in cell_pairs(cell, at and at[0]):
+            found.append(pair)
+            if len(found) > 1024:
+                yield made()
+                found = []
+        if found:
+            yield made()
+
+    return rows.mapInArrow(run, shape)
+
+
+def cell_pairs(cell: list[tuple], key: int | None = None) -> Iterator[tuple]:
+    """(member, centre, anchors) of the pairs of a cell of (id, open, block, sorted keys, their places, their marks), ids ascending.
+
+    A pair has an open document, one of either block if there are two, and shares keys of enough hash functions. Marks: 2
+    for keys that are compared and open, 1 compared, 0 not. A pair that meets under a smaller key than the cell's is left
+    to that one.
+    """
+    n = len(cell)
+    if n < 2:
+        return
+    is_open, block = np.array([x[1] for x in cell]), np.array([x[2] for x in cell])
+    wanted = np.triu(is_open[:, None] | is_open[None], 1)
+    if block.min() != block.max():
+        wanted &= block[:, None] != block[None]
+    if key is not None and wanted.any():
+        early = [x[3][(x[3] < key) & (x[5] > 0)] for x in cell]
+        values, column = np.unique(np.concatenate(early), return_inverse=True)
+        owners, is_mark = np.repeat(np.arange(n), [len(x) for x in early]), np.concatenate([x[5][(x[3] < key) & (x[5] > 0)] for x in cell]) == 2
+        for lo in range(0, len(values), COLUMNS):
+            inside = (column >= lo) & (column < lo + COLUMNS)
+            compared, marked = np.zeros((2, n, min(COLUMNS, len(values) - lo)), np.float32)
+            compared[owners[inside], column[inside] - lo] = 1
+            marked[owners[inside & is_mark], column[inside & is_mark] - lo] = 1
+            before = marked @ compared.T > 0
+            wanted &= ~(before | before.T)
+    if n > 8:
+        owners = np.repeat(np.arange(n), [len(x[3]) for x in cell])
+        values, column, count = np.unique(np.concatenate([x[3] for x in cell]), return_inverse=True, return_counts=True)
+        functions = np.zeros((n, n), np.int8)
+        for k in range(HASHES):
+            mine = np.flatnonzero((count > 1) & ((values & 3) == k))
+            place = np.full(len(values), -1)
+            place[mine] = np.arange(len(mine))
+            at = place[column]
+            common = np.zeros((n, n), bool)
+            for lo in range(0, len(mine), COLUMNS):
+                part = np.zeros((n, min(COLUMNS, len(mine) - lo)), np.float32)
+                inside = (at >= lo) & (at < lo + COLUMNS)
+                part[owners[inside], at[inside] - lo] = 1
+                common |= part @ part.T > 0
+            functions += common
+        wanted &= functions >= ENOUGH
+    for i, j in np.argwhere(wanted).tolist():
+        (centre, _, _, theirs, at_theirs), (member, _, _, mine, at_mine) = cell[i][:5], cell[j][:5]
+        both, x, y = np.intersect1d(mine, theirs, assume_unique=True, return_indices=True)
+        if len(np.unique(both & 3)) < ENOUGH:
+            continue
+        anchors = []
+        for key, p, q in zip(both.tolist(), x.tolist(), y.tolist(), strict=True):
+            # All places of either document meet the first of the other.
+            p, q = at_mine[p].as_py(), at_theirs[q].as_py()
+            anchors += [{"key": key, "place": a, "c_place": q[0]} for a in p] + [{"key": key, "place": p[0], "c_place": b} for b in q[1:]]
+        yield member, centre, anchors
 
 
 def repeated_documents(found: DataFrame) -> DataFrame:

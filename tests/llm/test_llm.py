@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -291,6 +292,55 @@ def test_repeated_passages(spark, odd):
     assert passages.repeated_passages(odd.limit(0)).count() == 0
 
 
+def test_repeated_passages_of_crowded_windows_equal_brute_force(spark):
+    """Families of passages and chains of near copies under windows that unrelated documents before and after them hold as well."""
+    rng = np.random.default_rng(11)
+    words = np.array([f"v{i}" for i in range(4000)])
+    fill = lambda n: list(rng.choice(words, n))
+    texts = {}
+    for family in range(6):
+        passage = fill(70)
+        for i in range(40):
+            at = int(rng.integers(0, 30))
+            texts[(100 if i % 2 else 900) * 100 + family * 40 + i] = fill(40) + passage[at : at + 40] + fill(40)
+        for i in range(3):
+            texts[50000 + family * 10 + i] = fill(60) + passage + fill(20)
+    chain = fill(70)
+    for i in range(12):
+        texts[60000 + (i * 5) % 12] = fill(50) + chain + fill(50)
+        chain = list(chain)
+        chain[int(rng.integers(5, 65))] = f"edit{i}"
+    windows = {}
+    for i, t in texts.items():
+        s = common.shingles(" ".join(t))
+        windows[i] = s, [{int(h[p]): p for _, p, _ in reversed(passages.compact_windows(h, 46))} for h in (common.scramble(s ^ seed) for seed in passages._SEEDS)]
+    links = []
+    for i in sorted(texts):
+        for j in sorted(texts):
+            if i < j:
+                anchors = [(k, b[h], a[h]) for k, (a, b) in enumerate(zip(windows[i][1], windows[j][1], strict=True)) for h in a.keys() & b.keys()]
+                if len({k for k, *_ in anchors}) >= passages.ENOUGH and passages.passages(windows[j][0], windows[i][0], anchors, 46, 0.8):
+                    links.append((i, j))
+    least = {i: i for pair in links for i in pair}
+    for _ in least:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in passages.repeated_documents(passages.repeated_passages(df)).collect()}
+    assert len(least) > 25 and got == least
+
+
+def test_cells_of_many_members_equal_all_pairs():
+    rng = np.random.default_rng(5)
+    cell = []
+    for i in range(60):
+        keys = np.sort(rng.choice(900, 40, replace=False).astype(np.int64))
+        cell.append((i, bool(rng.integers(2)), int(i % 2), keys, pa.array([[int(k)] for k in keys])))
+    got = {(m, c) for m, c, _ in passages.cell_pairs(cell)}
+    want = {(j, i) for i in range(60) for j in range(i + 1, 60) if (cell[i][1] or cell[j][1]) and cell[i][2] != cell[j][2] and len({k & 3 for k in set(cell[i][3].tolist()) & set(cell[j][3].tolist())}) >= passages.ENOUGH}
+    assert got == want and 0 < len(want) < 900
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51)], "a long, b long")
     got = {r["node"]: r["component"] for r in common.components(edges).collect()}
