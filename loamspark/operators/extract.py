@@ -36,6 +36,13 @@ PII = {
     "ip": r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b",
     "date_of_birth": r"\b[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{4}\b",
 }
+# All patterns of each kind; PII, one for each, is what the registered queries and their SQL share.
+ALL_PII = PII | {
+    "phone": r"\([0-9]{3}\)\s*[0-9]{3}[-.\s]?[0-9]{4}|" + PII["phone"] + r"|\b\+1[-.\s]?[0-9]{3}[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}\b|\b\+[0-9]{1,3}[-.\s]?[0-9]{1,4}[-.\s]?[0-9]{1,4}[-.\s]?[0-9]{1,9}\b",
+    "card": PII["card"] + r"|\b(?:[0-9]{4}[-\s]?){3}[0-9]{4}\b",
+    "ip": PII["ip"] + r"|\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b",
+    "date_of_birth": r"(?i:\b(?:born|dob|birthday|birth date)[:\s]+[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}\b)|" + PII["date_of_birth"],
+}
 ACTIONS = ("allow", "warn", "redact", "block")
 
 
@@ -58,15 +65,15 @@ def filter_candidates(candidates: DataFrame, least: float = 0.5, most: int = 10)
     return ranked.where(F.col("_n") <= most).drop("_n")
 
 
-def pii_counts(text: str) -> list[Column]:
-    return [F.regexp_count(text, F.lit(p)).alias(k) for k, p in PII.items()]
+def pii_counts(text: str, patterns: dict[str, str] = ALL_PII) -> list[Column]:
+    return [F.regexp_count(text, F.lit(p)).alias(k) for k, p in patterns.items()]
 
 
-def pii_redact(text: str) -> Column:
+def pii_redact(text: str, patterns: dict[str, str] = ALL_PII) -> Column:
     """Every match replaced by its kind in brackets, kind by kind."""
     out = F.col(text)
     for kind in ("email", "card", "ip", "ssn", "phone", "date_of_birth"):
-        out = F.regexp_replace(out, PII[kind], f"[{kind.upper()}]")
+        out = F.regexp_replace(out, patterns[kind], f"[{kind.upper()}]")
     return out
 
 

@@ -20,7 +20,7 @@ def _docs(spark, d):
 
 @query("pii_counts", "SELECT doc_id AS id, " + ", ".join(f"len(regexp_extract_all(text, '{_sql(p)}')) AS {k}" for k, p in op.PII.items()) + " FROM documents")
 def pii_counts(spark, d):
-    return _docs(spark, d).select("id", *op.pii_counts("text"))
+    return _docs(spark, d).select("id", *op.pii_counts("text", op.PII))
 
 
 def _redact_sql() -> str:
@@ -32,7 +32,7 @@ def _redact_sql() -> str:
 
 @query("pii_redact_replace", f"SELECT doc_id AS id, sha256({_redact_sql()}) AS redacted FROM documents")
 def pii_redact_replace(spark, d):
-    return _docs(spark, d).select("id", F.sha2(op.pii_redact("text"), 256).alias("redacted"))
+    return _docs(spark, d).select("id", F.sha2(op.pii_redact("text", op.PII), 256).alias("redacted"))
 
 
 CATEGORIES = {"insult": (("stupid", "worthless"), "block"), "taste": (("disgusting", "awful"), "redact"), "legal": (("rights reserved", "license"), "warn")}

@@ -131,3 +131,12 @@ def test_stream_equals_batch(spark, tmp_path):
     run = gates.rate_limit(source, "token_bucket", stream=True, rate=0.5, capacity=2).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert {(r["key"], r["id"]): r["allowed"] for r in spark.table("limited").collect()} == want
+
+
+def test_all_patterns_of_personal_data(spark):
+    texts = ["call (988) 555-2485 now", "me+1 555-123-4567 ok", "4111 1111 1111 1111", "2001:db8:0:0:0:0:0:1", "DOB: 1/2/90", "a@b.co 555-123-4567 1/2/1990 10.0.0.1"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = df.select("text", extract.pii_redact("text").alias("out"), *extract.pii_counts("text")).collect()
+    got = {r["text"]: r for r in rows}
+    assert [got[t][k] for t, k in zip(texts, ["phone", "phone", "card", "ip", "date_of_birth"], strict=False)] == [1] * 5
+    assert [got[t]["out"] for t in texts] == ["call [PHONE] now", "me[PHONE] ok", "[CARD]", "[IP]", "[DATE_OF_BIRTH]", "[EMAIL] [PHONE] [DATE_OF_BIRTH] [IP]"]
