@@ -28,6 +28,23 @@ RULES = (
     (r"\bi\s+(?:have|own)\s+(?:a|an)?\s*(.+?)" + END, "User has {0}", 0.75, "possession"),
     (r"\bmy\s+name\s+is\s+(.+?)" + END, "User's name is {0}", 0.95, "identity,name"),
 )
+# The other rules; RULES is what the registered queries and their SQL share.
+ALL_RULES = RULES + (
+    (r"\bmy\s+favorite\s+(.+?)\s+is\s+(.+?)" + END, "User's favorite {0} is {1}", 0.90, "preference,favorite"),
+    (r"\bi'm\s+([0-9]+)\s+years?\s+old", "User is {0} years old", 0.90, "identity,age"),
+    (r"\bi\s+speak\s+(.+?)" + END, "User speaks {0}", 0.85, "skill,language"),
+    (r"\bi\s+(?:went|traveled|visited)\s+(?:to\s+)?(.+?)(?:\s+last|\s+yesterday|\s+recently|\.|,|!|$)", "User visited {0}", 0.80, "travel,experience"),
+    (r"\blast\s+(?:week|month|year)\s+i\s+(.+?)" + END, "Recently, user {0}", 0.75, "recent,experience"),
+    (r"\bi\s+(?:just|recently)\s+(.+?)" + END, "User recently {0}", 0.75, "recent,experience"),
+    (r"\bi\s+used\s+to\s+(.+?)" + END, "User used to {0}", 0.70, "past,experience"),
+    (r"\bi\s+(?:want|need)\s+to\s+(.+?)" + END, "User wants to {0}", 0.70, "goal,desire"),
+    (r"\bi'm\s+(?:interested|curious)\s+(?:in|about)\s+(.+?)" + END, "User is interested in {0}", 0.80, "interest"),
+    (r"\bi'm\s+(?:learning|studying)\s+(.+?)" + END, "User is learning {0}", 0.80, "learning,goal"),
+    (r"\bi'm\s+(?:trying|working)\s+(?:to|on)\s+(.+?)" + END, "User is working on {0}", 0.75, "goal,current"),
+    (r"\bi\s+(?:know|understand)\s+(.+?)" + END, "User knows {0}", 0.70, "knowledge,skill"),
+    (r"\bi'm\s+(?:good|great|excellent)\s+at\s+(.+?)" + END, "User is skilled at {0}", 0.85, "skill,expertise"),
+    (r"\bi\s+(?:can|am able to)\s+(.+?)" + END, "User can {0}", 0.70, "ability,skill"),
+)
 PII = {
     "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
     "phone": r"\b[0-9]{3}[-.\s][0-9]{3}[-.\s][0-9]{4}\b",
@@ -46,13 +63,18 @@ ALL_PII = PII | {
 ACTIONS = ("allow", "warn", "redact", "block")
 
 
-def apply_rules(docs: DataFrame, rules=RULES) -> DataFrame:
+def apply_rules(docs: DataFrame, rules=ALL_RULES) -> DataFrame:
     """id, content, confidence, tags of every match of every rule in docs (id, text)."""
 
     def of(pattern: str, template: str, confidence: float, tags: str) -> Column:
-        found = F.regexp_extract_all("text", F.lit("(?i)" + pattern), F.lit(1))
-        before, after = map(F.lit, template.split("{0}"))
-        return F.transform(found, lambda m: F.struct(F.concat(before, F.trim(m), after).alias("content"), F.lit(confidence).alias("confidence"), F.lit(tags).alias("tags")))
+        parts = re.split(r"\{[0-9]\}", template)
+        groups = [F.regexp_extract_all("text", F.lit("(?i)" + pattern), F.lit(k)) for k in range(1, len(parts))]
+
+        def made(*found: Column) -> Column:
+            content = F.concat(F.lit(parts[0]), *[x for m, p in zip(found, parts[1:], strict=True) for x in (F.trim(m), F.lit(p))])
+            return F.struct(content.alias("content"), F.lit(confidence).alias("confidence"), F.lit(tags).alias("tags"))
+
+        return F.transform(groups[0], lambda m: made(m)) if len(groups) == 1 else F.zip_with(*groups, lambda m, n: made(m, n))
 
     return docs.select("id", F.explode(F.concat(*[of(*rule) for rule in rules])).alias("m")).select("id", "m.*")
 

@@ -113,12 +113,12 @@ def _rules_sql() -> str:
 
 @query("pattern_extract", _rules_sql())
 def pattern_extract(spark, d):
-    return op.apply_rules(_personal(spark, d))
+    return op.apply_rules(_personal(spark, d), op.RULES)
 
 
 @query("candidate_filter", f"WITH c AS ({_rules_sql()}), o AS (SELECT * FROM c WHERE confidence >= 0.8 QUALIFY row_number() OVER (PARTITION BY id, lower(trim(content)) ORDER BY confidence DESC, content) = 1) SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY id ORDER BY confidence DESC, content) <= 2")
 def candidate_filter(spark, d):
-    return op.filter_candidates(op.apply_rules(_personal(spark, d)), 0.8, 2)
+    return op.filter_candidates(op.apply_rules(_personal(spark, d), op.RULES), 0.8, 2)
 
 
 @query("entity_counts", r"SELECT lang, e AS entity, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+')) AS e FROM documents) GROUP BY ALL")

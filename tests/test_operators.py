@@ -140,3 +140,10 @@ def test_all_patterns_of_personal_data(spark):
     got = {r["text"]: r for r in rows}
     assert [got[t][k] for t, k in zip(texts, ["phone", "phone", "card", "ip", "date_of_birth"], strict=False)] == [1] * 5
     assert [got[t]["out"] for t in texts] == ["call [PHONE] now", "me[PHONE] ok", "[CARD]", "[IP]", "[DATE_OF_BIRTH]", "[EMAIL] [PHONE] [DATE_OF_BIRTH] [IP]"]
+
+
+def test_all_rules(spark):
+    text = "My favorite color is blue. I'm 40 years old. I speak French. I went to Rome last May. Last week I swam. I just ate. I used to smoke. I want to run. I'm interested in art. I'm learning Go. I'm trying to rest. I know Ada. I'm good at chess. I can cook."
+    got = {r["content"] for r in extract.apply_rules(spark.createDataFrame([(1, text)], "id long, text string")).collect()}
+    want = "favorite color is blue|is 40 years old|speaks French|visited Rome|recently ate|used to smoke|wants to run|is interested in art|is learning Go|is working on rest|knows Ada|is skilled at chess|can cook"
+    assert got == {"User" + ("'s " if x.startswith("favorite") else " ") + x for x in want.split("|")} | {"Recently, user swam"}
