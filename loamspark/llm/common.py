@@ -3,29 +3,45 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 SHINGLE = 5
-#: Rows of an Arrow batch that are worked on at once.
-PIECE = 1024
+#: Rows and bytes of a column that are worked on at once, and bytes of an Arrow batch that goes to a Python worker.
+PIECE, PIECE_BYTES, BATCH_BYTES = 1024, 2 << 20, 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where the setting is absent, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir, or the warehouse's where that is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="loam-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return found.rstrip("/") if found else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/loam-shared"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, so that long texts do not fill a worker; a smaller setting stays."""
+    if int(spark.conf.get(_BATCH_SETTING).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
+def sliced(batch: pa.RecordBatch, column: int, rows: int = PIECE, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """batch in parts of at most `rows` rows and about `size` bytes of a string or binary column (one row at least)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        n = max(1, min(rows, int(np.searchsorted(ends[at:], before + size, "right"))))
+        yield batch.slice(at, n)
+        at += n
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -43,7 +59,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def with_arrow_columns(df: DataFrame, source: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]]) -> DataFrame:
     """df with fields added (columns of these names are replaced).
 
-    make() runs once per partition; its result maps the values of column source in one Arrow batch to one list or array per field.
+    make() runs once per partition; its result maps the values of column source (string or binary) in a part of an Arrow
+    batch, bounded in rows and bytes, to one list or array per field.
     """
     names = {f.name for f in fields}
     kept = [c for c in df.columns if c not in names or c == source]
@@ -51,15 +68,18 @@ def with_arrow_columns(df: DataFrame, source: str, fields: list[T.StructField],
     arrow = to_arrow_schema(out)
     new = [arrow.field(f.name).type for f in fields]
 
+    place = kept.index(source)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
-        for batch in (b.slice(i, PIECE) for b in batches for i in range(0, b.num_rows, PIECE)):
+        for batch in (part for b in batches for part in sliced(b, place)):
             work = work or make()
-            made = work(batch.column(batch.schema.get_field_index(source)).to_pylist())
+            made = work(batch.column(place).to_pylist())
             columns = [batch.column(i) for i, c in enumerate(batch.schema.names) if c not in names]
             columns += [m if isinstance(m, pa.Array) else pa.array(m, type=t) for m, t in zip(made, new, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
+    bound_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, out)
 
 
@@ -83,37 +103,57 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+#: Bytes that are summed at once; a longer word is hashed on its own.
+CHUNK = 1 << 17
+
+
 @functools.cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first 2^bits powers of an odd multiplier and of its inverse, by 64-bit overflow."""
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """The first CHUNK + 1 powers of an odd multiplier and of its inverse, by 64-bit overflow."""
     out = []
     for base in (_POWER, _INVERSE):
-        steps = np.full(1 << bits, base, np.uint64)
+        steps = np.full(CHUNK + 1, base, np.uint64)
         steps[0] = 1
         out.append(np.multiply.accumulate(steps))
     return out[0], out[1]
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash for each word (lower case, split at ASCII white space).
+def lowered(text: str | None) -> bytes:
+    return (text or "").lower().encode("utf-8", "replace")
+
 
-    Bytes are summed with rising powers over the whole text at once; a word's hash is its part of the sum, shifted back.
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The first byte and a 64-bit hash of each word of data (split at ASCII white space).
+
+    Bytes are summed with rising powers, a chunk of the words at a time; a word's hash is its part of the sum, shifted back.
     """
-    raw = np.frombuffer((text or "").lower().encode("utf-8", "replace"), np.uint8)
+    raw = np.frombuffer(data, np.uint8)
     inside = ~_SPACE[raw]
     edges = np.diff(np.concatenate([[False], inside, [False]]).view(np.int8))
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(max(12, len(raw).bit_length()))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTES[raw] * up[: len(raw)], out=sums[1:])
-    return scramble((sums[ends] - sums[starts]) * down[starts])
+    up, down = _powers()
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        base = starts[i]
+        j = int(np.searchsorted(ends, base + CHUNK, "right"))
+        if j == i:
+            out[i], i = xxhash.xxh64_intdigest(data[base : ends[i]]), i + 1
+            continue
+        part = raw[base : ends[j - 1]]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTES[part] * up[: len(part)], out=sums[1:])
+        out[i:j] = (sums[ends[i:j] - base] - sums[starts[i:j] - base]) * down[starts[i:j] - base]
+        i = j
+    return starts, scramble(out)
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """A 64-bit hash for each run of five words; a text of one to four words has one shingle, one without words none."""
-    w = word_hashes(text)
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash for each word (lower case, split at ASCII white space)."""
+    return words_of(lowered(text))[1]
+
+
+def runs_of_words(w: np.ndarray) -> np.ndarray:
+    """A 64-bit hash for each run of five word hashes; of one to four, one for all; of none, none."""
     if not len(w):
         return w
     n = max(1, len(w) - SHINGLE + 1)
@@ -124,6 +164,11 @@ def shingles(text: str | None) -> np.ndarray:
     return scramble(h)
 
 
+def shingles(text: str | None) -> np.ndarray:
+    """A 64-bit hash for each run of five words; a text of one to four words has one shingle, one without words none."""
+    return runs_of_words(word_hashes(text))
+
+
 def salted_pairs(pairs: DataFrame, docs: DataFrame, per_group: int, verify: Callable, schema: str) -> DataFrame:
     """Rows of verify(centre, members) over groups of one centre and about per_group members, each a dict of its columns.
 
@@ -144,6 +189,7 @@ def salted_pairs(pairs: DataFrame, docs: DataFrame, per_group: int, verify: Call
         parts.join(docs.select(F.col("id").alias("centre"), "text"), "centre")
         .select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"), "text", *[F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in extra])
     )
+    bound_batches(docs.sparkSession)
     rows = members.unionByName(centres).repartition("centre", "salt").sortWithinPartitions("centre", "salt", F.asc_nulls_first("member"))
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
@@ -208,8 +254,15 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(hubs)
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int) -> list:
-    """About `rows` rows (never over twice as many) chosen by a hash of key, on the driver: for fitting a model only."""
+def bounded_sample(df: DataFrame, rows: int, text: str | None = None, chars: int = 4096) -> list:
+    """About `rows` rows (never over twice as many) chosen by a hash of the whole row, on the driver: for fitting a model only.
+
+    A longer text is sampled by a stretch of `chars` characters at a place its hash chooses, so the sample is bounded in bytes as well.
+    """
     total = df.count()
     share = min(1.0, rows / total) if total else 1.0
-    return df.where(F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * rows).collect()
+    picked = df.where(F.pmod(F.xxhash64(F.lit(17), *[F.col(f"`{c}`") for c in df.columns]), F.lit(1 << 30)) < int(share * (1 << 30)))
+    if text:
+        at = F.pmod(F.xxhash64(F.lit(19), text), F.greatest(F.length(text) - chars, F.lit(1)))
+        picked = picked.withColumn(text, F.substring(text, (at + 1).cast("int"), F.lit(chars)))
+    return picked.limit(2 * rows).collect()

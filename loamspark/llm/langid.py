@@ -85,9 +85,12 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Fitted on at most about `rows` labelled documents (null or empty texts and null languages are left out) outside the held-out quarter."""
+    """Fitted on at most about `rows` labelled documents (null or empty texts and null languages are left out) outside the held-out quarter.
+
+    Repeated rows are sampled together; a table without usable rows gives a model that never decides.
+    """
     usable = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
-    return LanguageModel.fit(sorted((r["text"], r["lang"]) for r in bounded_sample(usable.select("doc_id", "text", "lang"), "doc_id", rows)))
+    return LanguageModel.fit(sorted((r["text"], r["lang"]) for r in bounded_sample(usable.select("doc_id", "text", "lang"), rows, "text")))
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

@@ -1,4 +1,9 @@
-"""Substring dedup: compact windows of token min-hashes, joined where documents share them, then verified passages."""
+"""Substring dedup: compact windows of token min-hashes, interval joins where documents share them, then verified passages.
+
+A run of LEAST shingles can only belong to a near-duplicate passage if most of its shingles occur in another document as
+well. So shingles are first marked as shared or not, over all documents, without a row for each: batches of documents send
+sorted hashes by ranges, and one bit for each comes back. Stretches of marked shingles (pieces) carry on; texts do not.
+"""
 
 from __future__ import annotations
 
@@ -6,24 +11,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from loamspark.llm.common import SHINGLE, components, likely, materialize, read, salted_pairs, scramble, shingles
+from loamspark.llm.common import SHINGLE, bound_batches, components, lowered, materialize, read, runs_of_words, salted_pairs, scramble, sliced, words_of
 
 SIMILARITY = 0.8
 #: Least words of a passage, hash functions, and how many of them must share a window at one place.
-WORDS, HASHES, ENOUGH = 50, 4, 2
+WORDS, HASHES, ENOUGH = 50, 6, 2
 #: Words that may be missing between matching stretches, and how far two anchors' alignments may differ.
 GAP, DRIFT = 10, 8
-#: Members of a centre in one group, documents in a block of the exact remainder, and columns of a block's matrix at once.
-GROUP, BLOCK, COLUMNS = 64, 512, 4096
+#: The part of a run's shingles that must occur elsewhere. A passage of any length at a Jaccard similarity of 0.8 holds a
+#: run of the least length with 60 % (four fifths of a passage of nearly two runs, its other fifth all in the middle).
+SHARED = 0.6
+#: Bytes of text in a batch, ranges of hashes for so many batches, bits of a hash within its range.
+PACK, RANGES, PER_BATCHES, LOW = 4 << 20, 1024, 8192, 32
+#: Members of a centre in one group; contexts in a block of the exact remainder; rows and columns of its matrix at once.
+GROUP, BLOCK, ROWS, COLUMNS = 64, 512, 64, 256
+#: Hash functions whose keys look for passages of one component's members that no centre covers: they change spans, no class.
+OPEN_FUNCTIONS = 2
+#: Members of a cell up to which its pairs are looked at one by one.
+FEW = 16
 
+FUNCTION = 7  # the low bits of a key that tell its hash function
 
-def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(left, place, right) of every node of the Cartesian tree of values whose subtree spans at least `least` places.
+
+def windows_of(values: np.ndarray, owners: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, place, right) of every node of the Cartesian trees of values (one tree for each owner, owners ascending) whose
+    subtree spans at least `least` places.
 
     Every run of values between left and right that holds place has its minimum there. Such nodes are exactly the minima
     of runs of `least` values, found at once by sliding minima; the nearest smaller value on either side of a node is
@@ -31,8 +49,9 @@ def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]
     node just below one of its own value is left out: texts that repeat a word have one window for the run.
     """
     n = len(values)
+    none = np.zeros(0, np.int64)
     if n < least:
-        return []
+        return none, none, none
     bits = np.uint64(max(1, n.bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
     packed = values & ~low | np.arange(n, dtype=np.uint64)
@@ -42,52 +61,237 @@ def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]
         size *= 2
     if size < least:
         run = np.minimum(run[: n - least + 1], run[least - size :])
-    first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-    places = (run[first] & low).astype(np.int64).tolist()
-    ranks = run[first].tolist()
-    left, right, stack = [0] * len(places), [n - 1] * len(places), []
-    for i, rank in enumerate(ranks):
-        while stack and ranks[stack[-1]] > rank:
-            right[stack.pop()] = places[i] - 1
-        left[i] = places[stack[-1]] + 1 if stack else 0
-        stack.append(i)
-    return [x for x in zip(left, places, right, strict=True) if not x[0] or values[x[0] - 1] != values[x[1]]]
+    run = run[owners[: n - least + 1] == owners[least - 1 :]]
+    if not len(run):
+        return none, none, none
+    ranks = run[np.concatenate([[True], run[1:] != run[:-1]])]
+    places = (ranks & low).astype(np.int64)
+    own = owners[places]
+    edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])).tolist() + [len(own)]
+    first, last = np.searchsorted(owners, own, "left").tolist(), (np.searchsorted(owners, own, "right") - 1).tolist()
+    left, right = [0] * len(places), last
+    at, rank = places.tolist(), ranks.tolist()
+    for begin, end in zip(edges, edges[1:]):
+        stack: list[int] = []
+        for i in range(begin, end):
+            x = rank[i]
+            while stack and rank[stack[-1]] > x:
+                right[stack.pop()] = at[i] - 1
+            left[i] = at[stack[-1]] + 1 if stack else first[i]
+            stack.append(i)
+    lefts, rights = np.array(left), np.array(right)
+    # A place whose subtree starts just after an equal value stands under it.
+    fresh = (lefts == np.array(first)) | (values[lefts - 1] != values[places])
+    return lefts[fresh], places[fresh], rights[fresh]
+
+
+def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(left, place, right) of the windows of one text's values."""
+    return list(zip(*(x.tolist() for x in windows_of(values, np.zeros(len(values), np.int64), least)), strict=True))
 
 
 _SEEDS = scramble(np.arange(101, 101 + HASHES, dtype=np.uint64))
 
 
-def _windows_of(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, key, place, again of every compact window of docs (doc_id, text).
+def reach(least: int) -> int:
+    """Places on either side of a shared minimum that show whether a passage of `least` lies around it."""
+    return least + 2 * DRIFT
+
+
+_POWER, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def _rising(n: int, base: np.uint64) -> np.ndarray:
+    """The powers 0 to n of base, by 64-bit overflow."""
+    steps = np.full(n + 1, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+class Batch:
+    """The shingles of a batch of documents that have at least `least`, one document after the other."""
+
+    def __init__(self, texts: list[str | None], least: int, bits: int):
+        raw = [lowered(t) for t in texts]
+        starts, w = words_of(b" ".join(raw))
+        doc = np.searchsorted(np.cumsum([len(x) + 1 for x in raw]), starts, "right")
+        n = max(0, len(w) - SHINGLE + 1)
+        whole = doc[:n] == doc[SHINGLE - 1 :][:n]
+        whole &= (np.bincount(doc, minlength=len(raw)) >= least + SHINGLE - 1)[doc[:n]] if n else False
+        s = runs_of_words(w)[:n] if n else w[:0]
+        self.values, self.owners = s[whole], doc[:n][whole]
+        self.places = np.flatnonzero(whole) - np.searchsorted(doc, self.owners, "left")
+        short = self.values >> np.uint64(64 - LOW - bits)
+        order = np.argsort(short, kind="stable")
+        ranked, owner = short[order], self.owners[order]
+        fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(ranked)]
+        at = np.flatnonzero(fresh)
+        #: Distinct shortened hashes, the one of each shingle, and whether two documents of the batch hold it.
+        self.distinct, self.which = ranked[at], np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(fresh) - 1
+        self.often = owner[at] != owner[np.concatenate([at[1:], [len(order)]]).astype(np.int64) - 1] if len(at) else np.zeros(0, bool)
+        self.bounds = np.searchsorted(self.distinct >> np.uint64(LOW), np.arange((1 << bits) + 1, dtype=np.uint64))
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """batch, body: documents (doc_id, text) of a task, about PACK bytes of text at a time, compressed."""
+    plain = pa.schema([pa.field("doc_id", to_arrow_schema(docs.select("doc_id").schema).field(0).type), pa.field("text", pa.string())])
+
+    def run(batches):
+        task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def made():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, plain, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for x in held:
+                    out.write_batch(x)
+            return pa.RecordBatch.from_arrays([pa.array([task << 20 | number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "body"])
+
+        for batch in batches:
+            for part in sliced(batch, 1, 1 << 20, PACK):
+                held.append(pa.RecordBatch.from_arrays([part.column(0).cast(plain[0].type), part.column(1).cast(pa.string())], schema=plain))
+                size += part.nbytes
+                if size >= PACK:
+                    yield made()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield made()
+
+    return docs.select("doc_id", "text").mapInArrow(run, "batch long, body binary")
+
+
+def _unpacked(body: bytes) -> tuple[pa.Array, list[str | None]]:
+    table = pa.ipc.open_stream(body).read_all()
+    return table.column(0).combine_chunks(), table.column(1).to_pylist()
+
+
+def _ranges(packed: DataFrame, least: int, bits: int) -> DataFrame:
+    """bucket, batch, hashes: the distinct shortened hashes of each batch, by ranges, the low LOW bits of each."""
+
+    def run(batches):
+        for batch in batches:
+            for number, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                b = Batch(_unpacked(body.as_py())[1], least, bits)
+                low, full = b.distinct.astype(np.uint32), np.flatnonzero(np.diff(b.bounds))
+                blobs = [low[b.bounds[k] : b.bounds[k + 1]].tobytes() for k in full]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), number), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "batch", "hashes"])
+
+    return packed.mapInArrow(run, "bucket int, batch long, hashes binary")
+
 
-    key: the window's minimum, its two low bits the hash function. again: the document had the key before. The windows'
-    ends are not carried: verification finds the stretches around the places that documents share.
+def _marks(ranges: DataFrame) -> DataFrame:
+    """batch, bucket, mask: a bit for each hash of ranges, whether another batch holds it as well."""
+
+    def marked(bucket, held):
+        values = np.concatenate([np.frombuffer(h, np.uint32) for _, h in held])
+        _, which, count = np.unique(values, return_inverse=True, return_counts=True)
+        cuts = np.cumsum([len(h) // 4 for _, h in held])[:-1]
+        masks = [np.packbits(x).tobytes() for x in np.split(count[which] > 1, cuts)]
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in held], pa.int64()), pa.array([bucket] * len(held), pa.int32()), pa.array(masks, pa.binary())], names=["batch", "bucket", "mask"])
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            for bucket, number, hashes in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if bucket != now and held:
+                    yield marked(now, held)
+                    held = []
+                now = bucket
+                held.append((number, hashes))
+        if held:
+            yield marked(now, held)
+
+    return ranges.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "batch long, bucket int, mask binary")
+
+
+WINDOW = T.StructType([T.StructField("key", T.LongType()), T.StructField("context", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in ("place", "left", "right")]])
+
+
+def stretches_of_shared(owners: np.ndarray, shared: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and exclusive ends of the stretches covered by runs of `least` shingles (of one owner) with enough shared ones."""
+    n = len(shared)
+    if n < least:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sums = np.concatenate([[0], np.cumsum(shared)])
+    good = ((sums[least:] - sums[:-least]) >= SHARED * least) & (owners[: n - least + 1] == owners[least - 1 :])
+    cover = np.zeros(n + 1, np.int64)
+    cover[: n - least + 1] += good
+    cover[least:] -= good
+    inside = np.cumsum(cover[:n]) > 0
+    joined = np.concatenate([[False], inside[1:] & inside[:-1] & (owners[1:] == owners[:-1])])
+    return np.flatnonzero(inside & ~joined), np.flatnonzero(inside & ~np.concatenate([joined[1:], [False]])) + 1
+
+
+def pieces_of(docs: DataFrame, least: int) -> DataFrame:
+    """piece, doc_id, start, body, windows: the stretches of every document that other documents may share.
+
+    body: 32 bits of each shingle. windows: the compact windows of each hash function, key (a hash of the minimum, its low
+    bits the function), context (a hash of the shingles up to reach(least) places around it) and places counted within the piece.
     """
-    shape = T.StructType([docs.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("again", T.BooleanType())])
+    packed = materialize(_packed(docs))
+    # More ranges for more batches, so that the hashes of a range fit a worker at any size.
+    bits = (RANGES * -(-max(1, packed.count()) // PER_BATCHES) - 1).bit_length()
+    masks = _marks(_ranges(packed, least, bits)).groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("bucket", "mask"))).alias("masks"))
+    rows = packed.join(masks.hint("merge"), "batch").select("batch", "body", F.col("masks.bucket").alias("buckets"), F.col("masks.mask").alias("masks"))
+    shape = T.StructType([T.StructField("piece", T.LongType()), docs.schema["doc_id"], T.StructField("start", T.IntegerType()), T.StructField("body", T.BinaryType()), T.StructField("windows", T.ArrayType(WINDOW))])
     arrow = to_arrow_schema(shape)
+    struct = arrow.field("windows").type.value_type
+
+    def made(number: int, body: bytes, buckets: list, masks: list):
+        ids, texts = _unpacked(body)
+        b = Batch(texts, least, bits)
+        shared = b.often
+        for k, mask in zip(buckets, masks, strict=True):
+            lo, hi = b.bounds[k], b.bounds[k + 1]
+            shared[lo:hi] |= np.unpackbits(np.frombuffer(mask, np.uint8), count=hi - lo).astype(bool)
+        starts, ends = stretches_of_shared(b.owners, shared[b.which], least)
+        if not len(starts):
+            return
+        inside = np.repeat(np.arange(len(starts)), ends - starts)
+        offset = np.cumsum(ends - starts) - (ends - starts)
+        values = b.values[np.arange(len(inside)) - np.repeat(offset, ends - starts) + np.repeat(starts, ends - starts)]
+        columns, count = [], np.zeros(len(starts), np.int64)
+        ends = ends - starts + offset  # from here on counted within the pieces alone
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * _rising(len(values), _POWER)[:-1], out=sums[1:])
+        down = _rising(len(values), _INVERSE)
+        for k, seed in enumerate(_SEEDS):
+            h = scramble(values ^ seed)
+            left, place, right = windows_of(h, inside, least)
+            owner = inside[place]
+            lo, hi = np.maximum(place - reach(least), offset[owner]), np.minimum(place + reach(least) + 1, ends[owner])
+            context = scramble((sums[hi] - sums[lo]) * down[lo] ^ scramble((place - lo + 1).astype(np.uint64))).view(np.int64)
+            columns.append((owner, (scramble(h[place]) & ~np.uint64(FUNCTION) | np.uint64(k)).view(np.int64), context, place - offset[owner], left - offset[owner], right - offset[owner]))
+            count += np.bincount(owner, minlength=len(starts))
+        owner, *rest = (np.concatenate(x) for x in zip(*columns, strict=True))
+        order = np.argsort(owner, kind="stable")
+        fields = [pa.array(x[order]) for x in rest[:2]] + [pa.array(x[order], pa.int32()) for x in rest[2:]]
+        windows = pa.StructArray.from_arrays(fields, fields=list(struct))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), windows)
+        data, rows = values.astype(np.uint32).tobytes(), pa.array(b.owners[starts])
+        bodies = [data[4 * o : 4 * (o + e - s)] for o, s, e in zip(offset.tolist(), offset.tolist(), ends.tolist(), strict=True)]
+        full = [pa.array((number << 20) + np.arange(len(starts)), pa.int64()), ids.take(rows), pa.array(b.places[starts], pa.int32()), pa.array(bodies, pa.binary()), lists.cast(arrow.field("windows").type)]
+        yield pa.RecordBatch.from_arrays(full, schema=arrow)
 
     def run(batches):
         for batch in batches:
-            rows, keys, places, again = [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                s = shingles(text)
-                if len(s) < least:
-                    continue
-                for k, seed in enumerate(_SEEDS):
-                    h = scramble(s ^ seed)
-                    at = np.array([c for _, c, _ in compact_windows(h, least)])
-                    key = scramble(h[at]) & ~np.uint64(3) | np.uint64(k)
-                    rows.append(np.full(len(at), i))
-                    keys.append(key)
-                    places.append(at)
-                    first = np.ones(len(at), bool)
-                    first[np.unique(key, return_index=True)[1]] = False
-                    again.append(first)
-            if rows:
-                columns = [batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(again))]
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-
-    return docs.select("doc_id", "text").mapInArrow(run, shape)
+            for number, body, buckets, masks in zip(*(batch.column(i) for i in range(4)), strict=True):
+                yield from made(number.as_py(), body.as_py(), buckets.as_py(), masks.as_py())
+
+    return materialize(rows.mapInArrow(run, shape))
+
+
+def enough(anchors: list[tuple], least: int) -> bool:
+    """Whether runs of anchors (function, my place, their place, first, last) of enough functions meet in nearly `least` places."""
+    if len({a[0] for a in anchors}) < ENOUGH:
+        return False
+    need = max(1, least - DRIFT)
+    kind, lo, hi = (np.array([a[i] for a in anchors]) for i in (0, 3, 4))
+    for at in range(0, len(lo), 256):
+        covers = (lo[None] <= lo[at : at + 256, None]) & (hi[None] >= lo[at : at + 256, None] + need - 1)
+        if (sum(covers[:, kind == k].any(1).astype(int) for k in range(HASHES)) >= ENOUGH).any():
+            return True
+    return False
 
 
 def _stretches(shared: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,13 +306,17 @@ def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def passages(mine: np.ndarray, theirs: np.ndarray, anchors: list[tuple[int, int, int]], least: int, similarity: float, known: np.ndarray | None = None) -> list[tuple[int, int, int, int, float]]:
+def passages(mine: np.ndarray, theirs: np.ndarray, anchors: list[tuple[int, int, int, int, int]], least: int, similarity: float, known: np.ndarray | None = None) -> list[tuple[int, int, int, int, float]]:
     """(start, end, their start, their end, Jaccard) of near-duplicate stretches of two lists of shingles; ends exclusive.
 
-    anchors: (hash function, my place, their place) of shared windows. A stretch is a run of shared shingles with gaps of
-    few words (known: their distinct shingles, sorted); a pair of stretches needs anchors of enough hash functions, the least length and the similarity. Each
-    alignment of its anchors is tried, then the stretches as a whole (texts that repeat themselves have no single alignment).
+    anchors: (hash function, my place, their place, first, last) of windows that both share; first and last are the run, in
+    my places, that lies in either window. A stretch is a run of shared shingles with gaps of few words (known: their
+    distinct shingles, sorted); a pair of stretches needs anchors of enough hash functions whose runs meet, the least length
+    and the similarity. Each alignment of its anchors is tried, then the stretches as a whole (texts that repeat themselves
+    have no single alignment).
     """
+    if len(mine) == len(theirs) >= least and anchors and (mine == theirs).all():
+        return [(0, len(mine), 0, len(mine), 1.0)]
     known = np.unique(theirs) if known is None else known
     shared = np.flatnonzero(known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine)
     if len(shared) < least * similarity:
@@ -121,12 +329,12 @@ def passages(mine: np.ndarray, theirs: np.ndarray, anchors: list[tuple[int, int,
     for gap in (GAP, 1):
         (s1, e1), (s2, e2) = _stretches(shared, gap), _stretches(common, gap)
         pairs: dict[tuple[int, int], list] = {}
-        for x in anchors:
-            i, j = int(np.searchsorted(s1, x[1], "right")) - 1, int(np.searchsorted(s2, x[2], "right")) - 1
+        at = np.array([x[1:3] for x in anchors])
+        for i, j, x in zip((np.searchsorted(s1, at[:, 0], "right") - 1).tolist(), (np.searchsorted(s2, at[:, 1], "right") - 1).tolist(), anchors, strict=True):
             pairs.setdefault((i, j), []).append(x)
         for (i, j), own in sorted(pairs.items()):
             a, b, c, d = int(s1[i]), int(e1[i]), int(s2[j]), int(e2[j])
-            if min(b - a, d - c) < least or len({k for k, _, _ in own}) < ENOUGH:
+            if min(b - a, d - c) < least or not enough(own, least):
                 continue
             groups: list[list] = []
             for x in sorted(own, key=lambda x: (x[1] - x[2], x[1])):
@@ -136,7 +344,7 @@ def passages(mine: np.ndarray, theirs: np.ndarray, anchors: list[tuple[int, int,
                     groups.append([x])
             tried = []
             for group in groups:
-                if len({k for k, _, _ in group}) < ENOUGH:
+                if not enough(group, least):
                     continue
                 shift = group[len(group) // 2][1] - group[len(group) // 2][2]
                 lo, hi = max(a, c + shift), min(b, d + shift)
@@ -158,7 +366,7 @@ def passages(mine: np.ndarray, theirs: np.ndarray, anchors: list[tuple[int, int,
 
 def _aligned(values: np.ndarray, others: np.ndarray, at: int) -> np.ndarray:
     """Which values stand in others within DRIFT places of their own place, counted from at."""
-    wide = np.zeros(len(values) + 2 * DRIFT, np.uint64)
+    wide = np.zeros(len(values) + 2 * DRIFT, values.dtype)
     lo, hi = max(0, at - DRIFT), min(len(others), at + len(values) + DRIFT)
     wide[lo - (at - DRIFT) : hi - (at - DRIFT)] = others[lo:hi]
     return np.logical_or.reduce([wide[d : d + len(values)] == values for d in range(2 * DRIFT + 1)])
@@ -167,31 +375,38 @@ def _aligned(values: np.ndarray, others: np.ndarray, at: int) -> np.ndarray:
 def repeated_passages(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each side of each verified link: doc_id, start, end (words, end exclusive), other_id, similarity.
 
-    Documents that share a window's minimum are linked to one of them, hash function by hash function; pairs linked by
-    enough hash functions are verified on their texts. Members of a window that its centre does not explain meet all its
-    other members block by block (shared_pairs). Null texts, and texts shorter than `words`, have no windows. Rows that repeat a doc_id count as one document with its smallest text. Other columns are ignored.
+    Pieces whose windows have the same minimum, and whose windows' runs around it overlap by about the least length, are
+    linked to one of them, hash function by hash function; pairs whose runs meet for enough hash functions are verified.
+    Members of a key that this leaves uncovered or in different components meet all others of the key by the shingles around
+    their places (around_minima). Null texts,
+    and texts shorter than `words`, have no windows; rows with a null doc_id are left out. Rows that repeat a doc_id are
+    compared with one another like other documents (other_id is then the doc_id itself); a passage that only one row
+    repeats is not reported. Other columns are ignored; an empty table gives no rows.
     """
+    spark = docs.sparkSession
+    bound_batches(spark)
     least = words - SHINGLE + 1
-    doc = docs.schema["doc_id"].dataType.simpleString()
-    windows = materialize(_windows_of(docs.where(F.col("doc_id").isNotNull()), least))
-    once = windows.where("not again")
-    shared = once.groupBy("key").agg(F.min("doc_id").alias("first"), F.min_by("place", "doc_id").alias("c_place"), F.count("*").alias("n")).where("n > 1").drop("n")
-    links = materialize(windows.select("key", "doc_id", "place").join(shared, "key").withColumnRenamed("first", "centre"))
-    hash_bit = F.call_function("shiftleft", F.lit(1), F.col("key").bitwiseAND(F.lit(3)).cast("int"))
-    # Texts are gathered once, for all that share windows of enough hash functions; a merge join, so that the plan is the
-    # same at any size.
-    linked = materialize(links.groupBy(F.col("doc_id").alias("id")).agg(F.bit_count(F.bit_or(hash_bit)).alias("n")).where(F.col("n") >= ENOUGH).select("id"))
-    texts = likely(docs.select(F.col("doc_id").alias("id"), "text"), "id", linked).join(linked.hint("merge"), "id", "left_semi")
-    texts = materialize(texts.groupBy("id").agg(F.min("text").alias("text")))
+    pieces = pieces_of(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), least)
+    windows = pieces.select("piece", F.explode("windows").alias("w")).select("w.key", "w.context", "piece", "w.place", "w.left", "w.right")
+    first = F.min_by(F.struct("place", "left", "right"), F.struct("piece", "place"))
+    shared = windows.groupBy("key").agg(F.min("piece").alias("centre"), F.max("piece").alias("last"), first.alias("c")).where("centre < last").drop("last")
+    links = materialize(windows.join(shared, "key").select("key", "context", "piece", "place", "left", "right", "centre", F.col("c.place").alias("c_place"), F.col("c.left").alias("c_left"), F.col("c.right").alias("c_right")))
+    # The interval join: both windows' runs around the shared minimum must overlap by nearly the least length.
+    before = F.least(F.col("place") - F.col("left"), F.col("c_place") - F.col("c_left"))
+    after = F.least(F.col("right") - F.col("place"), F.col("c_right") - F.col("c_place"))
+    anchor = F.struct(F.col("key").bitwiseAND(FUNCTION).cast("int").alias("k"), "place", "c_place", (F.col("place") - before).alias("lo"), (F.col("place") + after).alias("hi"))
+    met = links.where((F.col("piece") != F.col("centre")) & (before + after + 1 >= least - DRIFT))
+    pairs = met.groupBy(F.col("piece").alias("member"), "centre").agg(F.collect_list(anchor).alias("anchors"), F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("key").bitwiseAND(FUNCTION).cast("int")))).alias("functions"))
+    pairs = materialize(pairs.where(F.col("functions") >= ENOUGH).drop("functions"))
 
     def verify(centre, members):
-        theirs, rows, own = shingles(centre["text"]), [], []
+        theirs, rows, own = np.frombuffer(centre["text"], np.uint32), [], []
         known = np.unique(theirs)
         for m in members:
-            places = [(x["key"] & 3, x["place"], x["c_place"]) for x in m["anchors"]]
-            for a, b, c, d, score in passages(shingles(m["text"]), theirs, places, least, similarity, known):
-                rows.append((m["member"], a, b + SHINGLE - 1, centre["centre"], score))
-                own.append((c, d + SHINGLE - 1, m["member"], score))
+            places = [(x["k"], x["place"], x["c_place"], x["lo"], x["hi"]) for x in m["anchors"]]
+            for a, b, c, d, score in passages(np.frombuffer(m["text"], np.uint32), theirs, places, least, similarity, known):
+                rows.append((m["member"], a, b, centre["centre"], score))
+                own.append((c, d, m["member"], score))
         merged: list[list] = []
         for start, end, member, score in sorted(own):
             if merged and start <= merged[-1][1]:
@@ -200,141 +415,200 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, similarity: float = S
                 merged.append([start, end, member, score])
         return rows + [(centre["centre"], s, e, m, x) for s, e, m, x in merged]
 
-    def verified(links: DataFrame) -> DataFrame:
-        pairs = links.where("doc_id != centre").groupBy(F.col("doc_id").alias("member"), "centre").agg(F.collect_list(F.struct("key", "place", "c_place")).alias("anchors"))
-        # Enough hash functions must share windows: a lone collision is no candidate.
-        functions = F.array_distinct(F.transform("anchors", lambda a: a["key"].bitwiseAND(F.lit(3))))
-        return checked(pairs.where(F.size(functions) >= ENOUGH))
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs)
-        return materialize(salted_pairs(pairs, texts, GROUP, verify, f"doc_id {doc}, start int, end int, other_id {doc}, similarity double"))
-
-    found = verified(links)
-    # A member's place is explained if a passage it shares with the window's own centre covers it; a centre's later places,
-    # if any of its passages does.
-    spans = found.select(F.col("doc_id").alias("id"), "start", "end", F.col("other_id").alias("centre")).distinct()
-    covered = (F.col("l.doc_id") == F.col("s.id")) & F.col("l.place").between(F.col("s.start"), F.col("s.end") - SHINGLE) & ((F.col("l.centre") == F.col("s.centre")) | (F.col("l.centre") == F.col("l.doc_id")))
-    later = links.where("doc_id != centre or place != c_place")
-    left = later.alias("l").join(spans.alias("s"), covered, "left_anti").select("key", "doc_id").distinct().withColumn("open", F.lit(True))
-    left = materialize(left.join(linked.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"))
-    members = links.groupBy("key", "doc_id").agg(F.sort_array(F.collect_list("place")).alias("places")).join(linked.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    members = members.join(left.hint("merge"), ["key", "doc_id"], "left").select("key", F.col("doc_id").alias("id"), "places", F.coalesce("open", F.lit(False)).alias("open"))
-    return found.unionByName(checked(shared_pairs(materialize(members), doc)))
-
-
-def shared_pairs(members: DataFrame, kind: str) -> DataFrame:
-    """member, centre (its smaller document) and anchors of all pairs that share windows of enough hash functions, and at least one window that is open for one of them.
-
-    members: key, id, places, open. Open members of a key are dealt into blocks of bounded size, others into others of their
-    own, and every pair of blocks with an open one is compared in a task of its own, so no task grows with a key. Each row
-    brings all keys of its document, so functions are counted over all keys. Keys of the same members are compared once.
+    bodies = pieces.select(F.col("piece").alias("id"), F.col("body").alias("text"))
+    found = materialize(salted_pairs(pairs, bodies, GROUP, verify, FOUND))
+    # What is left for the other pairs of a key: places that no passage covers yet, and pieces of different components.
+    spans = found.select(F.col("piece").alias("id"), "start", "end").distinct()
+    covered = (F.col("l.piece") == F.col("s.id")) & (F.col("l.place") >= F.col("s.start")) & (F.col("l.place") < F.col("s.end"))
+    places = links.select("key", "context", "piece", "place")
+    left = materialize(places.alias("l").join(spans.alias("s"), covered, "left_anti").select("key", "piece", "place").withColumn("open", F.lit(True)))
+    joined = components(found.select(F.col("piece").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "piece")
+    members = places.join(left.hint("merge"), ["key", "piece", "place"], "left").join(joined.hint("merge"), "piece", "left")
+    members = members.select("key", "context", "piece", "place", F.coalesce("open", F.lit(False)).alias("open"), F.coalesce("component", "piece").alias("component"))
+    found = found.unionByName(around_minima(materialize(members), pieces, least, similarity))
+    own = pieces.select("piece", "doc_id", F.col("start").alias("at"))
+    other = pieces.select(F.col("piece").alias("other"), F.col("doc_id").alias("other_id"))
+    return found.join(own, "piece").join(other, "other").select("doc_id", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end") + SHINGLE - 1).alias("end"), "other_id", "similarity")
+
+
+FOUND = "piece long, start int, end int, other long, similarity double"
+
+
+def around_minima(members: DataFrame, pieces: DataFrame, least: int, similarity: float) -> DataFrame:
+    """Passages (both sides) around the places of a key's members, where a place is open or the members' components differ.
+
+    members: key, context, piece, place, open, component. Members with equal contexts share a passage and are linked with
+    one of them by aggregation, however many they are. The distinct contexts of a key are dealt into blocks of bounded size,
+    and every pair of blocks that can hold a wanted pair is compared in a task of its own, so no task grows with a key:
+    closed contexts of the key's most frequent component do not meet one another. Pairs of two components meet under the keys
+    of every hash function; pairs of one component, which can only add words to spans, under those of OPEN_FUNCTIONS.
     """
-    sums = [F.sum(F.xxhash64(F.lit(n), "id", "open").cast("decimal(38,0)")).alias(f"sum{n}") for n in (1, 2)]
-    keys = members.groupBy("key").agg(F.count("*").alias("n"), F.count_if("open").alias("n_open"), *sums).where("n > 1 and n_open > 0")
-    keys = keys.groupBy("n", "n_open", "sum1", "sum2").agg(F.min("key").alias("key"))
-    keys = materialize(keys.select("key", F.ceil(F.col("n_open") / BLOCK).cast("int").alias("p"), F.ceil((F.col("n") - F.col("n_open")) / BLOCK).cast("int").alias("q")))
-    dealt = members.select("key", "id", "open").join(keys, "key")
-    dealt = dealt.withColumn("block", F.when(F.col("open"), F.pmod(F.xxhash64("id"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.xxhash64("id"), F.greatest("q", F.lit(1)))).cast("int"))
-    last = F.when(F.col("open"), F.col("p") + F.col("q")).otherwise(F.col("p")) - 1
-    dealt = materialize(dealt.select("id", "key", "open", "block", F.explode(F.sequence(F.lit(0), last)).alias("other")))
-    # Keys that no other document of these shares are of no use for any pair.
-    used = members.join(dealt.select("id").distinct(), "id", "left_semi")
-    met = keys.select("key", F.lit(True).alias("met"))
-    used = used.join(met.hint("merge"), "key", "left").withColumn("mark", F.when(F.col("met").isNull(), 0).when(F.col("open"), 2).otherwise(1).cast("tinyint"))
-    own = used.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("key", "places", "mark"))).alias("own"))
-    cells = dealt.select("id", "key", "open", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).join(own, "id")
-    rows = cells.select("key", "lo", "hi", "id", "open", "block", F.col("own.key").alias("keys"), F.col("own.places").alias("places"), F.col("own.mark").alias("marks"))
-    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
-    shape = f"member {kind}, centre {kind}, anchors array<struct<key:bigint,place:int,c_place:int>>"
-    arrow = to_arrow_schema(T._parse_datatype_string(shape))
+    members = members.withColumn("open", F.col("open") & (F.col("key").bitwiseAND(FUNCTION) < OPEN_FUNCTIONS))
+    of_key = members.groupBy("key").agg(F.max("open").alias("o"), F.min("component").alias("c"), F.max("component").alias("d")).where("o or c < d").select("key")
+    rest = materialize(members.join(of_key.hint("merge"), "key", "left_semi"))
+    one = rest.groupBy("key", "context").agg(F.min(F.struct("piece", "place", "component")).alias("r"), F.max("piece").alias("last"), F.max("open").alias("open"), F.min("component").alias("c"), F.max("component").alias("d"))
+    one = materialize(one.select("key", "context", "r.piece", "r.place", "r.component", "last", "open", "c", "d"))
+    sizes = pieces.select("piece", (F.octet_length("body") / 4).cast("int").alias("size"))
+    equal = one.where("piece < last and (open or c < d)").select("key", "context", F.col("piece").alias("first"), "last")
+    equal = rest.select("key", "context", "piece", "place").join(equal, ["key", "context"]).join(sizes, "piece")
+    start, end = F.greatest(F.col("place") - reach(least), F.lit(0)), F.least(F.col("place") + reach(least) + 1, F.col("size"))
+    equal = equal.select("piece", start.alias("start"), end.alias("end"), F.when(F.col("piece") == F.col("first"), F.col("last")).otherwise(F.col("first")).alias("other"), F.lit(1.0).alias("similarity")).distinct()
+    # Distinct contexts: open if nothing else has the same; keys at the same places of the same pieces are compared once.
+    distinct = one.select("key", "piece", "place", "component", (F.col("open") & (F.col("piece") == F.col("last"))).alias("open"))
+    sums = [F.sum(F.xxhash64(F.lit(n), "piece", "place", "open").cast("decimal(38,0)")).alias(f"sum{n}") for n in (1, 2)]
+    keys = distinct.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("o"), F.min("component").alias("c"), F.max("component").alias("d"), F.mode("component").alias("main"), *sums)
+    keys = keys.where("n > 1 and (o or c < d)").groupBy("n", "o", "sum1", "sum2").agg(F.min(F.struct("key", "main")).alias("k")).select("k.key", "k.main")
+    active = F.col("open") | (F.col("component") != F.col("main"))
+    dealt = materialize(distinct.join(keys, "key").withColumn("active", active).drop("main"))
+    counts = dealt.groupBy("key").agg(F.ceil(F.count_if("active") / BLOCK).cast("int").alias("p"), F.ceil(F.count_if(~F.col("active")) / BLOCK).cast("int").alias("q"))
+    dealt = dealt.join(counts, "key")
+    spread = F.xxhash64("piece", "place")
+    dealt = dealt.withColumn("block", F.when(F.col("active"), F.pmod(spread, F.greatest("p", F.lit(1)))).otherwise(F.col("p") + F.pmod(spread, F.greatest("q", F.lit(1)))).cast("int"))
+    # Contexts are cut from the pieces, each gathered once.
+    own = dealt.groupBy("piece").agg(F.collect_list(F.struct("key", "place", "open", "component", "active", "block", "p", "q")).alias("own"))
+    cut = own.join(pieces.select("piece", "body"), "piece")
+    fields = "key long, piece long, place int, open boolean, component long, active boolean, block int, p int, q int, first int, context binary"
+    arrow = to_arrow_schema(T._parse_datatype_string(fields))
+
+    def contexts(batches):
+        for batch in batches:
+            for piece, own, body in zip(*(batch.column(i) for i in range(3)), strict=True):
+                v, n, rows = np.frombuffer(body.as_py(), np.uint32).astype(np.uint16), piece.as_py(), own.as_py()
+                for at in range(0, len(rows), 4096):
+                    out = [(r["key"], n, r["place"], r["open"], r["component"], r["active"], r["block"], r["p"], r["q"], lo, v[lo : r["place"] + reach(least) + 1].tobytes()) for r in rows[at : at + 4096] for lo in (max(0, r["place"] - reach(least)),)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    last = F.when(F.col("active"), F.col("p") + F.col("q")).otherwise(F.col("p")) - 1
+    cells = cut.mapInArrow(contexts, fields).withColumn("meets", F.explode(F.sequence(F.lit(0), last)))
+    cells = cells.select("key", F.least("block", "meets").alias("lo"), F.greatest("block", "meets").alias("hi"), "piece", "place", "open", "component", "block", "first", "context")
+    rows = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "piece", "place")
+    shape = to_arrow_schema(T._parse_datatype_string(FOUND))
 
     def run(batches):
-        at, cell, found = None, [], []
-
-        def made():
-            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*found, strict=True), arrow, strict=True)], schema=arrow)
+        def made(found):
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*found, strict=True), shape, strict=True)], schema=shape)
 
+        at, cell = None, []
         for batch in batches:
-            heads = list(zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True))
-            keys, places, marks = batch.column(6), batch.column(7), batch.column(8)
-            for i, (key, lo, hi, name, is_open, block) in enumerate(heads):
+            columns = [batch.column(i).to_pylist() for i in range(10)]
+            for key, lo, hi, *row in zip(*columns, strict=True):
                 if (key, lo, hi) != at:
-                    for pair in cell_pairs(cell, at and at[0]):
-                        found.append(pair)
-                        if len(found) > 1024:
-                            yield made()
-                            found = []
+                    if found := cell_links(cell, least, similarity):
+                        yield made(found)
                     at, cell = (key, lo, hi), []
-                cell.append((name, is_open, block, keys[i].values.to_numpy(), places[i].values, marks[i].values.to_numpy()))
-        for pair in cell_pairs(cell, at and at[0]):
-            found.append(pair)
-            if len(found) > 1024:
-                yield made()
-                found = []
-        if found:
-            yield made()
-
-    return rows.mapInArrow(run, shape)
-
-
-def cell_pairs(cell: list[tuple], key: int | None = None) -> Iterator[tuple]:
-    """(member, centre, anchors) of the pairs of a cell of (id, open, block, sorted keys, their places, their marks), ids ascending.
-
-    A pair has an open document, one of either block if there are two, and shares keys of enough hash functions. Marks: 2
-    for keys that are compared and open, 1 compared, 0 not. A pair that meets under a smaller key than the cell's is left
-    to that one.
+                cell.append((*row[:6], np.frombuffer(row[6], np.uint16)))
+        if found := cell_links(cell, least, similarity):
+            yield made(found)
+
+    return equal.unionByName(materialize(rows.mapInArrow(run, FOUND)))
+
+
+def _reached(held: np.ndarray, centre: int, step: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places from centre to the end of the stretch on one side of it (step 1 or -1), and how many are shared: held[:, t, :] tells which share place t."""
+    shape = held.shape[0], held.shape[2]
+    last, missed, count = (np.zeros(shape, np.int16) for _ in range(3))
+    for k in range(1, centre + 1):
+        here = held[:, centre + step * k] & (missed < gap)
+        missed = np.where(here, 0, missed + 1).astype(np.int16)
+        count += here
+        last[here] = k
+        if (missed >= gap).all():
+            break
+    return last, count
+
+
+def likely_pairs(contexts: list[np.ndarray], centres: list[int], asked: np.ndarray, width: int, least: int, similarity: float) -> np.ndarray:
+    """Which asked pairs can have a passage around their centres: the stretches that they share, with gaps of few words or none,
+    are long enough, and enough of their places is shared (a little less than the similarity asks, as values may repeat)."""
+    n = len(contexts)
+    values, code = np.unique(np.concatenate(contexts), return_inverse=True)
+    sizes = np.array([len(c) for c in contexts])
+    owner, inside = np.repeat(np.arange(n), sizes), np.concatenate([np.arange(k) for k in sizes])
+    table = np.full((n, 2 * width + 1), len(values), np.int64)
+    table[owner, inside - np.repeat(centres, sizes) + width] = code
+    length, count, whole = (np.zeros((n, n), np.int32) for _ in range(3))
+    rows = np.flatnonzero(asked.any(1))
+    for at in range(0, n, COLUMNS):
+        mine = owner // COLUMNS == at // COLUMNS
+        has = np.zeros((len(values) + 1, min(COLUMNS, n - at)), bool)
+        has[code[mine], owner[mine] - at] = True
+        for k in range(0, len(rows), ROWS):
+            part = rows[k : k + ROWS]
+            held = has[table[part]]
+            (right, more), (left, less) = _reached(held, width, 1, GAP), _reached(held, width, -1, GAP)
+            length[part, at : at + COLUMNS], count[part, at : at + COLUMNS] = right + left + 1, more + less + 1
+            whole[part, at : at + COLUMNS] = _reached(held, width, 1, 1)[0] + _reached(held, width, -1, 1)[0] + 1
+    dense = count + count.T >= (2 * similarity / (1 + similarity) - 0.04) * (length + length.T)
+    long = length >= least
+    return asked & (long & long.T & dense | (whole >= least) & (whole.T >= least))
+
+
+def cell_links(cell: list[tuple], least: int, similarity: float) -> list[tuple]:
+    """Both sides of the passages around the places of a cell of (piece, place, open, component, block, first place, context).
+
+    A pair has an open member or two components and, if the cell has two blocks, one of either. The stretch around the place
+    that the pair shares (as in passages, with gaps of few words or none) must have the least length and the similarity.
     """
     n = len(cell)
     if n < 2:
-        return
-    is_open, block = np.array([x[1] for x in cell]), np.array([x[2] for x in cell])
-    wanted = np.triu(is_open[:, None] | is_open[None], 1)
+        return []
+    piece, is_open, component, block = (np.array([x[i] for x in cell]) for i in (0, 2, 3, 4))
+    wanted = (piece[:, None] != piece[None]) & (is_open[:, None] | is_open[None] | (component[:, None] != component[None]))
     if block.min() != block.max():
         wanted &= block[:, None] != block[None]
-    if key is not None and wanted.any():
-        early = [x[3][(x[3] < key) & (x[5] > 0)] for x in cell]
-        values, column = np.unique(np.concatenate(early), return_inverse=True)
-        owners, is_mark = np.repeat(np.arange(n), [len(x) for x in early]), np.concatenate([x[5][(x[3] < key) & (x[5] > 0)] for x in cell]) == 2
-        for lo in range(0, len(values), COLUMNS):
-            inside = (column >= lo) & (column < lo + COLUMNS)
-            compared, marked = np.zeros((2, n, min(COLUMNS, len(values) - lo)), np.float32)
-            compared[owners[inside], column[inside] - lo] = 1
-            marked[owners[inside & is_mark], column[inside & is_mark] - lo] = 1
-            before = marked @ compared.T > 0
-            wanted &= ~(before | before.T)
-    if n > 8:
-        owners = np.repeat(np.arange(n), [len(x[3]) for x in cell])
-        values, column, count = np.unique(np.concatenate([x[3] for x in cell]), return_inverse=True, return_counts=True)
-        functions = np.zeros((n, n), np.int8)
-        for k in range(HASHES):
-            mine = np.flatnonzero((count > 1) & ((values & 3) == k))
-            place = np.full(len(values), -1)
-            place[mine] = np.arange(len(mine))
-            at = place[column]
-            common = np.zeros((n, n), bool)
-            for lo in range(0, len(mine), COLUMNS):
-                part = np.zeros((n, min(COLUMNS, len(mine) - lo)), np.float32)
-                inside = (at >= lo) & (at < lo + COLUMNS)
-                part[owners[inside], at[inside] - lo] = 1
-                common |= part @ part.T > 0
-            functions += common
-        wanted &= functions >= ENOUGH
-    for i, j in np.argwhere(wanted).tolist():
-        (centre, _, _, theirs, at_theirs), (member, _, _, mine, at_mine) = cell[i][:5], cell[j][:5]
-        both, x, y = np.intersect1d(mine, theirs, assume_unique=True, return_indices=True)
-        if len(np.unique(both & 3)) < ENOUGH:
-            continue
-        anchors = []
-        for key, p, q in zip(both.tolist(), x.tolist(), y.tolist(), strict=True):
-            # All places of either document meet the first of the other.
-            p, q = at_mine[p].as_py(), at_theirs[q].as_py()
-            anchors += [{"key": key, "place": a, "c_place": q[0]} for a in p] + [{"key": key, "place": p[0], "c_place": b} for b in q[1:]]
-        yield member, centre, anchors
+    if not wanted.any():
+        return []
+    contexts, centres = [x[6] for x in cell], [x[1] - x[5] for x in cell]
+    if n > FEW:
+        wanted = likely_pairs(contexts, centres, wanted, reach(least), least, similarity)
+    out = []
+    for i, j in np.argwhere(np.triu(wanted, 1)).tolist():
+        if found := passage_around(contexts[i], contexts[j], centres[i], centres[j], least, similarity):
+            a, b, c, d, score = found
+            p, q = cell[i][5], cell[j][5]
+            out += [(cell[i][0], p + a, p + b, cell[j][0], score), (cell[j][0], q + c, q + d, cell[i][0], score)]
+    return out
+
+
+def passage_around(x: np.ndarray, y: np.ndarray, centre: int, other: int, least: int, similarity: float) -> tuple | None:
+    """(start, end, their start, their end, Jaccard) of the stretch around a shingle that both contexts hold, ends exclusive."""
+
+    def stretch(shared: np.ndarray, at: int, gap: int) -> tuple[int, int]:
+        cuts = np.flatnonzero(shared[1:] - shared[:-1] > gap)
+        k = int(np.searchsorted(cuts, np.searchsorted(shared, at)))
+        return int(shared[cuts[k - 1] + 1] if k else shared[0]), int(shared[cuts[k]] if k < len(cuts) else shared[-1]) + 1
+
+    _SEEN[y] = True
+    mine = np.flatnonzero(_SEEN[x])
+    _SEEN[y] = False
+    if len(mine) < similarity * least:
+        return None
+    _SEEN[x] = True
+    theirs = np.flatnonzero(_SEEN[y])
+    _SEEN[x] = False
+    for gap in (GAP, 1):
+        a, b = stretch(mine, centre, gap)
+        if b - a < least:
+            return None  # smaller gaps give shorter stretches
+        c, d = stretch(theirs, other, gap)
+        if d - c < least:
+            return None
+        left, right = set(x[a:b].tolist()), set(y[c:d].tolist())
+        both = len(left & right)
+        if (score := both / (len(left) + len(right) - both)) >= similarity:
+            return a, b, c, d, score
+    return None
+
+
+_SEEN = np.zeros(1 << 16, bool)
 
 
 def repeated_documents(found: DataFrame) -> DataFrame:
-    """One row for each document of repeated_passages: doc_id, class_id, n_spans, repeated_words, spans (start-end, merged, joined by commas)."""
+    """One row for each document of repeated_passages: doc_id, class_id, n_spans, repeated_words, spans (start-end, merged, joined by commas).
+
+    No passages give no rows. A document that only rows of its own id share keeps its id as its class.
+    """
+    found = materialize(found)
     classes = components(found.select(F.col("doc_id").alias("a"), F.col("other_id").alias("b"))).withColumnsRenamed({"node": "doc_id", "component": "class_id"})
     spans = found.select("doc_id", "start", "end").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     pair = "array<struct<start:int,end:int>>"
@@ -347,9 +621,9 @@ def repeated_documents(found: DataFrame) -> DataFrame:
     none = F.struct(F.expr("cast(null as struct<start:int,end:int>)").alias("at"), F.expr(f"cast(array() as {pair})").alias("out"))
     merged = F.aggregate("spans", none, step, lambda a: F.concat(a["out"], F.array(a["at"])))
     spans = spans.select("doc_id", merged.alias("spans"))
-    return spans.join(classes, "doc_id").select(
+    return spans.join(classes, "doc_id", "left").select(
         "doc_id",
-        "class_id",
+        F.coalesce("class_id", "doc_id").alias("class_id"),
         F.size("spans").cast("long").alias("n_spans"),
         F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["start"]).cast("long").alias("repeated_words"),
         F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"),

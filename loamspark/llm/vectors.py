@@ -99,7 +99,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
     good = materialize(rows.where(usable()).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    sample = bounded_sample(good.select("rep", "embedding"), "rep", SAMPLE_ROWS)
+    sample = bounded_sample(good.select("rep", "embedding"), SAMPLE_ROWS)
     by_length: dict[int, list] = {}
     for r in sorted(sample, key=lambda r: r["rep"] if r["rep"] is not None else -1):
         by_length.setdefault(len(r["embedding"]), []).append(r["embedding"])
