@@ -47,13 +47,12 @@ def header(raw: bytes) -> tuple | None:
 
 
 @functools.lru_cache(4096)
-def checksum(data: bytes) -> int:
-    """The format's 16-bit checksum (polynomial 8005, start FFFF)."""
-    crc = 0xFFFF
-    for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+def checksum(data: bytes, bits: int | None = None) -> int:
+    """The format's 16-bit checksum (polynomial 8005, start FFFF) of the first bits (all by default)."""
+    crc, bits = 0xFFFF, 8 * len(data) if bits is None else bits
+    for k in range(bits):
+        top = (crc >> 15) ^ (data[k >> 3] >> 7 - (k & 7) & 1)
+        crc = (crc << 1 ^ (0x8005 if top else 0)) & 0xFFFF
     return crc
 
 
@@ -61,49 +60,149 @@ def synchsafe(n: int) -> bytes:
     return bytes(n >> s & 0x7F for s in (21, 14, 7, 0))
 
 
+def _synchsafe(raw: bytes) -> int:
+    return functools.reduce(lambda a, b: a << 7 | b & 0x7F, raw, 0)
+
+
+def _text(body: bytes) -> str:
+    coding = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1")
+    return body[1:].decode(coding, "replace").rstrip("\0")
+
+
+def _id3v2(data: bytes, tags: dict[str, str]) -> None:
+    """The text frames of a version 2.2, 2.3 or 2.4 tag, unsynchronised and extended headers included."""
+    major, flags = data[3], data[5]
+    body = data[10 : 10 + _synchsafe(data[6:10])]
+    if flags & 0x80 and major < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    at = 0
+    if flags & 0x40 and major >= 3 and len(body) >= 4:
+        at = _synchsafe(body[:4]) if major >= 4 else 4 + int.from_bytes(body[:4], "big")
+    wide = 3 if major < 3 else 4  # bytes of a frame's name and of its length
+    head = 6 if major < 3 else 10
+    while at + head <= len(body) and body[at : at + wide].strip(b"\0"):
+        name, raw = body[at : at + wide].decode("latin-1"), body[at + wide : at + 2 * wide]
+        length = _synchsafe(raw) if major >= 4 else int.from_bytes(raw, "big")
+        value = body[at + head : at + head + length]
+        if major >= 4 and body[at + 9] & 2:
+            value = value.replace(b"\xff\0", b"\xff")
+        if name[0] == "T" and value:
+            own, (key, _, rest) = name in ("TXXX", "TXX"), _text(value).partition("\0")
+            tags[f"TXXX:{key}" if own else name] = rest if own else _text(value)
+        at += head + length
+
+
+def _ape(data: bytes, end: int, tags: dict[str, str]) -> int:
+    """The start of an APE tag that ends at end (its items in tags), or end if there is none."""
+    if end < 32 or data[end - 32 : end - 24] != b"APETAGEX":
+        return end
+    size, items, flags = struct.unpack("<III", data[end - 20 : end - 8])
+    at = end - size
+    if at < 0:
+        return end
+    start = max(0, at - 32 if flags & 0x80000000 else at)
+    for _ in range(items):
+        if at + 8 >= end - 32:
+            break
+        length, kind = struct.unpack("<II", data[at : at + 8])
+        stop = data.find(b"\0", at + 8, end - 32)
+        if stop < 0:
+            break
+        if not kind >> 1 & 3:
+            tags.setdefault(f"ape:{data[at + 8 : stop].decode('latin-1')}", data[stop + 1 : stop + 1 + length].decode("utf-8", "replace"))
+        at = stop + 1 + length
+    return start
+
+
 def read_tags(data: bytes) -> tuple[int, int, dict[str, str]]:
-    """(start, end) of the audio between tags at either end, and the text frames of the tags."""
+    """(start, end) of the audio between tags at either end, and the text frames of the tags (ID3 1 and 2, APE)."""
     start, end, tags = 0, len(data), {}
     while data[start : start + 3] == b"ID3" and len(data) >= start + 10:
-        size = functools.reduce(lambda a, b: a << 7 | b & 0x7F, data[start + 6 : start + 10], 0)
-        at, stop, major = start + 10, min(end, start + 10 + size), data[start + 3]
-        while at + 10 <= stop and data[at : at + 4].strip(b"\0"):
-            name, raw = data[at : at + 4].decode("latin-1"), data[at + 4 : at + 8]
-            length = functools.reduce(lambda a, b: a << 7 | b & 0x7F, raw, 0) if major >= 4 else int.from_bytes(raw, "big")
-            body = data[at + 10 : min(stop, at + 10 + length)]
-            if name[0] == "T" and body:
-                text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1"), "replace").rstrip("\0")
-                key, _, value = text.partition("\0")
-                tags[f"{name}:{key}" if name == "TXXX" else name] = value if name == "TXXX" else text
-            at += 10 + length
-        start = stop + (10 if data[start + 5] & 0x10 else 0)
+        size = _synchsafe(data[start + 6 : start + 10])
+        _id3v2(data[start : start + 10 + size], tags)
+        start = min(end, start + 10 + size + (10 if data[start + 5] & 0x10 else 0))
     if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         for key, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
             if value := data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip():
                 tags.setdefault(f"id3v1:{key}", value)
-    return start, end, tags
+    return start, max(start, _ape(data, end, tags)), tags
 
 
 def read_vbr(data: bytes, at: int, h: tuple) -> dict | None:
-    """The variable-bitrate table in the frame at at: stated frames and bytes, and the places of 100 shares of the duration."""
+    """The variable-bitrate table in the frame at at: stated frames and bytes, and the byte places (from the frame on) of equal shares of the duration."""
     size, side, crc = h[0], h[5], 2 * h[4]
     tag = at + 4 + crc + side
-    if data[tag : tag + 4] in (b"Xing", b"Info"):
-        flags, pos, out = int.from_bytes(data[tag + 4 : tag + 8], "big"), tag + 8, {"kind": data[tag : tag + 4].decode(), "frames": None, "bytes": None, "toc": None}
+    if data[tag : tag + 4] in (b"Xing", b"Info") and tag + 8 <= at + size:
+        flags, pos, out = int.from_bytes(data[tag + 4 : tag + 8], "big"), tag + 8, {"kind": data[tag : tag + 4].decode(), "frames": None, "bytes": None, "toc": []}
         for bit, name in ((1, "frames"), (2, "bytes")):
             if flags & bit:
                 out[name], pos = int.from_bytes(data[pos : pos + 4], "big"), pos + 4
-        if flags & 4:
-            out["toc"] = list(data[pos : pos + 100])
+        if flags & 4 and out["bytes"]:
+            out["toc"] = [x * out["bytes"] // 256 for x in data[pos : min(pos + 100, at + size)]]
         return out
     tag = at + 36
     if data[tag : tag + 4] == b"VBRI" and tag + 26 <= at + size:
-        size_, frames = struct.unpack(">II", data[tag + 10 : tag + 18])
-        return {"kind": "VBRI", "frames": frames, "bytes": size_, "toc": None}
+        size_, frames, entries, scale, width = struct.unpack(">IIHHH", data[tag + 10 : tag + 24])
+        raw, toc, place = data[tag + 26 : min(at + size, tag + 26 + entries * width)], [], size
+        for k in range(len(raw) // width if width else 0):
+            toc.append(place)
+            place += int.from_bytes(raw[k * width : (k + 1) * width], "big") * scale
+        return {"kind": "VBRI", "frames": frames, "bytes": size_, "toc": toc}
     return None
 
 
+# Fixed values of the format: bits of a subband's allocation in Layer II, as (subbands, bits), by table.
+ALLOCATION = {
+    "high": ((11, 4), (12, 3), (4, 2)),
+    "higher": ((11, 4), (12, 3), (7, 2)),
+    "low48": ((2, 4), (6, 3)),
+    "low32": ((2, 4), (10, 3)),
+    "half": ((4, 4), (7, 3), (19, 2)),
+}
+
+
+def _allocation(version_1: bool, rate: int, kbit: int, channels: int) -> list[int]:
+    if not version_1:
+        name = "half"
+    elif kbit // channels <= 48:
+        name = "low32" if rate == 32000 else "low48"
+    else:
+        name = "high" if rate == 48000 or kbit // channels <= 80 else "higher"
+    return [bits for n, bits in ALLOCATION[name] for _ in range(n)]
+
+
+def _bits(data: bytes, n: int) -> int:
+    return int.from_bytes(data[: -(-n // 8)], "big") >> -n % 8
+
+
+def protected(frame_: bytes, h: tuple) -> tuple[bytes, int] | None:
+    """The bytes that a frame's checksum covers and how many bits of them: header, then side information or allocation."""
+    rate, kbit, side, layer = h[2], h[3], h[5], h[6]
+    body = frame_[6:]
+    if layer == 3:
+        n = 8 * side
+    else:
+        mode, channels = frame_[3] >> 6, 1 if frame_[3] >> 6 == 3 else 2
+        table = [4] * 32 if layer == 1 else _allocation(frame_[1] >> 3 & 3 == 3, rate, kbit, channels)
+        joint = min(len(table), 4 * ((frame_[3] >> 4 & 3) + 1)) if mode == 1 else len(table)
+        widths = [w for k, w in enumerate(table) for _ in range(channels if k < joint else 1)]
+        n = sum(widths)
+        if len(body) * 8 < n:
+            return None
+        if layer == 2:
+            # Two bits for each channel of a subband with an allocation follow.
+            at, extra, value = 0, 0, _bits(body, n)
+            for k, w in enumerate(widths):
+                at += w
+                used = value >> n - at & (1 << w) - 1
+                extra += 2 * (channels if used and k >= joint * channels else 1) if used else 0
+            n += extra
+    if len(body) * 8 < n:
+        return None
+    return frame_[2:4] + body[: -(-n // 8)], 16 + n
+
+
 def parse(data: bytes) -> dict:
     """Everything the frames, tags and tables of data say; offsets are exact byte places of the audio frames.
 
@@ -129,8 +228,9 @@ def parse(data: bytes) -> dict:
         synced = True
         size, samples, rate, kbit, crc, side, layer = h
         body = at + 4 + 2 * crc + side
-        if crc and layer == 3:
-            ok = checksum(data[at + 2 : at + 4] + data[at + 6 : body]) == int.from_bytes(data[at + 4 : at + 6], "big")
+        if crc:
+            covered = protected(data[at : min(at + size, at + 96)], h)
+            ok = covered is not None and checksum(*covered) == int.from_bytes(data[at + 4 : at + 6], "big")
             out["crc_ok" if ok else "crc_bad"] += 1
         if not out["offsets"] and out["vbr"] is None and (vbr := read_vbr(data, at, h)):
             out["vbr"] = vbr
@@ -192,12 +292,16 @@ def write(payload: bytes) -> bytes:
 
 
 def payload_of(found: dict) -> bytes:
-    """The ancillary bytes of a stream made by write()."""
-    return b"".join(found["bodies"])[: int(found["tags"].get("TXXX:payload_bytes", 0))]
+    """The ancillary bytes of a stream made by write(); empty for other streams."""
+    n = found["tags"].get("TXXX:payload_bytes", "")
+    return b"".join(found["bodies"])[: int(n)] if n.isascii() and n.isdigit() else b""
 
 
 def store_audio(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with media (binary): each whole text as UTF-8 (null: empty), padded, in an MPEG audio stream. A column media is replaced."""
+    """docs with media (binary): each whole text as UTF-8 (null: empty), padded, in an MPEG audio stream.
+
+    A column media is replaced, others pass through; equal texts give equal streams, repeated rows stay, an empty table stays empty.
+    """
 
     def make():
         return lambda texts: [[write(padded((x or "").encode("utf-8", "replace"))) for x in texts]]
@@ -217,40 +321,68 @@ AUDIO = T.StructType(
         T.StructField("skipped_bytes", T.LongType()),
         T.StructField("vbr_kind", T.StringType()),
         T.StructField("vbr_frames", T.LongType()),
+        T.StructField("seek_table", T.ArrayType(T.LongType())),
         T.StructField("tags", T.MapType(T.StringType(), T.StringType())),
     ]
 )
 
 
+def _row(found: dict) -> dict:
+    vbr = found["vbr"] or {}
+    return {
+        "sample_rate": found["rate"], "samples": found["samples"], "duration_us": found["duration_us"], "frame_offsets": found["offsets"],
+        "bitrates": sorted(found["bitrates"].items()), "crc_ok": found["crc_ok"], "crc_bad": found["crc_bad"], "skipped_bytes": found["skipped"],
+        "vbr_kind": vbr.get("kind"), "vbr_frames": vbr.get("frames"), "seek_table": vbr.get("toc", []), "tags": sorted(found["tags"].items()),
+    }
+
+
 def read_audio(df: DataFrame, media: str = "media", payload: bool = False) -> DataFrame:
     """df with audio (see AUDIO), parsed from a binary column of MPEG audio; null or foreign bytes give no frames.
 
-    With payload, also the ancillary payload of streams made by store_audio. Columns of these names are replaced.
+    With payload, also the ancillary payload of streams made by store_audio (empty for others). Columns of these names are
+    replaced, others pass through; repeated rows stay; an empty table stays empty.
     """
     fields = [T.StructField("audio", AUDIO)] + [T.StructField("payload", T.BinaryType())] * payload
 
     def make():
-        def row(found: dict) -> dict:
-            vbr = found["vbr"] or {}
-            return {
-                "sample_rate": found["rate"], "samples": found["samples"], "duration_us": found["duration_us"], "frame_offsets": found["offsets"],
-                "bitrates": sorted(found["bitrates"].items()), "crc_ok": found["crc_ok"], "crc_bad": found["crc_bad"], "skipped_bytes": found["skipped"],
-                "vbr_kind": vbr.get("kind"), "vbr_frames": vbr.get("frames"), "tags": sorted(found["tags"].items()),
-            }
-
         def work(values: list) -> list:
-            found = [parse(x or b"") for x in values]
-            return [[row(f) for f in found]] + ([[payload_of(f) for f in found]] if payload else [])
+            rows, payloads = [], []
+            for x in values:
+                found = parse(x or b"")
+                rows.append(_row(found))
+                if payload:
+                    payloads.append(payload_of(found))
+            return [rows] + [payloads] * payload
 
         return work
 
     return with_arrow_columns(df, media, fields, make)
 
 
+def store_and_read(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with media, audio and payload: what store_audio and then read_audio of its stored bytes give, in one pass.
+
+    One pass holds one text's stream at a time and needs one worker for a core. Columns and rows as in the two functions.
+    """
+    fields = [T.StructField("media", T.BinaryType()), T.StructField("audio", AUDIO), T.StructField("payload", T.BinaryType())]
+
+    def make():
+        def work(texts: list) -> list:
+            out = [], [], []
+            for x in texts:
+                media = write(padded((x or "").encode("utf-8", "replace")))
+                found = parse(media)
+                for column, value in zip(out, (media, _row(found), payload_of(found)), strict=True):
+                    column.append(value)
+            return list(out)
+
+        return work
+
+    return with_arrow_columns(docs, text, fields, make)
+
+
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = store_audio(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    stored = stored.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
-    back = read_audio(stored, payload=True)
+    back = store_and_read(read(spark, sf_dir, "documents").select("doc_id", "text"))
     a = F.col("audio")
     feature = F.concat_ws(
         ";",
@@ -265,7 +397,7 @@ def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return back.select(
         "doc_id",
-        "n_bytes",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(payload, -64)")).alias("tail_crc32"),
