@@ -273,13 +273,17 @@ def _fingerprint(text: str | None) -> str | None:
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each class of near duplicates: one row of its smallest doc_id; rows without words all stay."""
-    classes = near_duplicates(docs, similarity)
-    kept = classes.where("kept").select("doc_id").distinct()
-    rows = docs.withColumn("_words", F.coalesce(F.regexp_like("text", F.lit(r"[^\s]")), F.lit(False)))
-    firsts = rows.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    loose = rows.where(F.col("doc_id").isNull() | ~F.col("_words"))
-    return firsts.where((F.col("_n") == 1) & F.col("_words")).drop("_n").unionByName(loose).drop("_words").select(docs.columns)
+    """docs with one row of each class of near duplicates: one row of its smallest doc_id; rows without words all stay.
+
+    Rows without a doc_id stay; of the rows of one id one with the smallest text stays; other columns, whatever their names,
+    pass through; an empty table stays empty.
+    """
+    kept = near_duplicates(docs, similarity).where("kept").select("doc_id").distinct()
+    words = F.coalesce(F.regexp_like("text", F.lit(r"[^\s]")), F.lit(False))
+    rows = docs.select("doc_id", "text", words.alias("words"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    firsts = rows.where("words").join(kept, "doc_id", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("n = 1")
+    loose = rows.where(F.col("doc_id").isNull() | ~F.col("words"))
+    return firsts.select("doc").unionByName(loose.select("doc")).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 #: Documents in a group of the first level, and groups whose residuals meet on the next.
 GROUP, FAN_IN = 256, 64
+#: Equal rows in a block.
+EQUAL = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -46,7 +48,7 @@ def _unit(seed: Column) -> Column:
     return F.pmod(seed, F.lit(1 << 52)) / float(1 << 52)
 
 
-ITEM = "struct<h:bigint,doc_id:{id},size:bigint,whole:int,p:double>"
+ITEM = "struct<h:bigint,row:bigint,n:bigint,doc_id:{id},size:bigint,whole:int,p:double>"
 
 
 def _pivot(items: Column, item: str, level: int) -> Column:
@@ -59,7 +61,7 @@ def _pivot(items: Column, item: str, level: int) -> Column:
     no_items = F.expr(f"cast(array() as array<{item}>)")
 
     def with_p(x: Column, p: Column) -> Column:
-        return F.struct(x["h"].alias("h"), x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["whole"].alias("whole"), p.alias("p"))
+        return F.struct(x["h"].alias("h"), x["row"].alias("row"), x["n"].alias("n"), x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["whole"].alias("whole"), p.alias("p"))
 
     def meet(acc: Column, x: Column) -> Column:
         a = acc["carry"]
@@ -87,9 +89,20 @@ def _pivot(items: Column, item: str, level: int) -> Column:
 
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, source, size (words; null text: 0) and h, a hash of the row that orders it and seeds its draws."""
+    """doc_id, source, size (words; null text: 0), row (a hash of the three columns), n (its number among equal rows) and h, which orders a row and seeds its draws.
+
+    Equal rows are counted before any shuffle and dealt out again in blocks, so however many there are no task holds all of them.
+    """
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "source", text).alias("h"))
+    rows = docs.select("doc_id", "source", size.alias("size"), row_hash(text).alias("row")).groupBy("doc_id", "source", "size", "row").agg(F.count("*").alias("rows"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / EQUAL))).alias("block"))
+    several = rows.where("rows > 1").repartition("row", "block").select("*", F.explode(F.sequence(F.col("block") * EQUAL, F.least(F.col("rows"), (F.col("block") + 1) * EQUAL) - 1)).alias("n"))
+    every = rows.where("rows = 1").withColumn("n", F.lit(0).cast("long")).unionByName(several)
+    return every.select("doc_id", "source", "size", "row", "n", F.when(F.col("n") == 0, F.col("row")).otherwise(F.xxhash64("row", "n")).alias("h"))
+
+
+def row_hash(text: str) -> Column:
+    return F.xxhash64("doc_id", "source", text)
 
 
 def mix(rows: DataFrame) -> DataFrame:
@@ -99,6 +112,8 @@ def mix(rows: DataFrame) -> DataFrame:
     FAN_IN other groups on the next level, until each source has one, which is rounded to the nearer side. So a source
     misses its target by at most half of one document. Documents without words take part with no copies beyond the whole ones.
     Every level is a table in the shared folder; no level joins or gathers by source alone, so a hot source is no hot task.
+    A null source is a source of its own, the last. An empty table gives no rows. Only sources are ranked in one task: they
+    are few next to documents.
     """
     item = ITEM.format(id=rows.schema["doc_id"].dataType.simpleString())
     rows = materialize(rows)
@@ -108,11 +123,11 @@ def mix(rows: DataFrame) -> DataFrame:
     grouped = (
         rows.withColumn("part", F.pmod("h", F.lit(groups)))
         .groupBy("source", "part")
-        .agg(F.collect_list(F.struct("h", "doc_id", "size")).alias("items"))
+        .agg(F.collect_list(F.struct("h", "row", "n", "doc_id", "size")).alias("items"))
     )
     t = targets.withColumnRenamed("source", "t_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    start = lambda x: F.struct(x["h"].alias("h"), x["doc_id"].alias("doc_id"), x["size"].alias("size"), F.col("whole").alias("whole"), F.when(x["size"] > 0, F.col("rate") - F.col("whole")).otherwise(0.0).alias("p"))
+    start = lambda x: F.struct(x["h"].alias("h"), x["row"].alias("row"), x["n"].alias("n"), x["doc_id"].alias("doc_id"), x["size"].alias("size"), F.col("whole").alias("whole"), F.when(x["size"] > 0, F.col("rate") - F.col("whole")).otherwise(0.0).alias("p"))
     level = (
         grouped.join(t, F.col("source").eqNullSafe(F.col("t_source")))
         .withColumn("rate", F.least(rate, F.lit(float(MOST_COPIES))))
@@ -137,20 +152,27 @@ def mix(rows: DataFrame) -> DataFrame:
     for more in out:
         last = last.unionByName(more)
     copies = (F.col("d.whole") + F.when(F.col("d.p") >= 0.5, 1).otherwise(0)).alias("copies")
-    return last.select("d.h", "d.doc_id", "source", "d.size", "source_size", "target", copies)
+    return last.select("d.row", "d.n", "d.doc_id", "source", "d.size", "source_size", "target", copies)
 
 
 def mix_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each row as often as mix() takes it (not at all, or up to three times); columns as they were.
 
-    Repeated rows share a hash; their counts are dealt among them in order.
+    Rows of equal doc_id, source and text are numbered, and their counts dealt among them, partition by partition. Null
+    texts have no words; other columns, whatever their names, pass through; an empty table stays empty.
     """
-    taken = mix(sized(docs, text)).groupBy("h").agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
-    hashed = docs.withColumn("_h", F.xxhash64("doc_id", "source", text))
-    numbered = hashed.withColumn("_n", F.row_number().over(Window.partitionBy("_h").orderBy(F.lit(0))))
-    joined = numbered.join(taken, F.col("_h") == F.col("h"))
-    copies = F.get("_copies", F.col("_n") - 1)
-    return joined.where(copies > 0).withColumn("_k", F.explode(F.sequence(F.lit(1), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = materialize(mix(sized(docs, text)).select("row", "n", "copies"))
+    whole = docs.select(row_hash(text).alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    several = materialize(taken.where("n > 0").select("row").distinct())
+    rows = whole.join(several.withColumn("many", F.lit(True)).hint("merge"), "row", "left")
+    alone = rows.where("many is null").select("row", "doc").join(taken.where("copies > 0"), "row")
+    equal = materialize(rows.where("many").select("row", "doc", F.spark_partition_id().alias("part")))
+    sums = equal.groupBy("row", "part").agg(F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy("row").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = equal.withColumn("own", F.row_number().over(Window.partitionBy("row", "part").orderBy(F.lit(0)))).join(sums.select("row", "part", before.alias("before")), ["row", "part"])
+    numbered = numbered.select("row", (F.col("before") + F.col("own") - 1).alias("n"), "doc").join(taken.where("copies > 0"), ["row", "n"])
+    both = alone.select("doc", "copies").unionByName(numbered.select("doc", "copies"))
+    return both.select("doc", F.explode(F.sequence(F.lit(1), "copies"))).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -390,12 +390,12 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, similarity: float = S
     windows = pieces.select("piece", F.explode("windows").alias("w")).select("w.key", "w.context", "piece", "w.place", "w.left", "w.right")
     first = F.min_by(F.struct("place", "left", "right"), F.struct("piece", "place"))
     shared = windows.groupBy("key").agg(F.min("piece").alias("centre"), F.max("piece").alias("last"), first.alias("c")).where("centre < last").drop("last")
-    links = materialize(windows.join(shared, "key").select("key", "context", "piece", "place", "left", "right", "centre", F.col("c.place").alias("c_place"), F.col("c.left").alias("c_left"), F.col("c.right").alias("c_right")))
     # The interval join: both windows' runs around the shared minimum must overlap by nearly the least length.
-    before = F.least(F.col("place") - F.col("left"), F.col("c_place") - F.col("c_left"))
-    after = F.least(F.col("right") - F.col("place"), F.col("c_right") - F.col("c_place"))
-    anchor = F.struct(F.col("key").bitwiseAND(FUNCTION).cast("int").alias("k"), "place", "c_place", (F.col("place") - before).alias("lo"), (F.col("place") + after).alias("hi"))
-    met = links.where((F.col("piece") != F.col("centre")) & (before + after + 1 >= least - DRIFT))
+    before = F.least(F.col("place") - F.col("left"), F.col("c.place") - F.col("c.left"))
+    after = F.least(F.col("right") - F.col("place"), F.col("c.right") - F.col("c.place"))
+    links = materialize(windows.join(shared, "key").select("key", "context", "piece", "place", "centre", F.col("c.place").alias("c_place"), before.cast("int").alias("before"), after.cast("int").alias("after")))
+    anchor = F.struct(F.col("key").bitwiseAND(FUNCTION).cast("int").alias("k"), "place", "c_place", (F.col("place") - F.col("before")).alias("lo"), (F.col("place") + F.col("after")).alias("hi"))
+    met = links.where((F.col("piece") != F.col("centre")) & (F.col("before") + F.col("after") + 1 >= least - DRIFT))
     pairs = met.groupBy(F.col("piece").alias("member"), "centre").agg(F.collect_list(anchor).alias("anchors"), F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("key").bitwiseAND(FUNCTION).cast("int")))).alias("functions"))
     pairs = materialize(pairs.where(F.col("functions") >= ENOUGH).drop("functions"))
 
@@ -473,7 +473,7 @@ def around_minima(members: DataFrame, pieces: DataFrame, least: int, similarity:
     def contexts(batches):
         for batch in batches:
             for piece, own, body in zip(*(batch.column(i) for i in range(3)), strict=True):
-                v, n, rows = np.frombuffer(body.as_py(), np.uint32).astype(np.uint16), piece.as_py(), own.as_py()
+                v, n, rows = np.frombuffer(body.as_py(), np.uint32), piece.as_py(), own.as_py()
                 for at in range(0, len(rows), 4096):
                     out = [(r["key"], n, r["place"], r["open"], r["component"], r["active"], r["block"], r["p"], r["q"], lo, v[lo : r["place"] + reach(least) + 1].tobytes()) for r in rows[at : at + 4096] for lo in (max(0, r["place"] - reach(least)),)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
@@ -496,7 +496,7 @@ def around_minima(members: DataFrame, pieces: DataFrame, least: int, similarity:
                     if found := cell_links(cell, least, similarity):
                         yield made(found)
                     at, cell = (key, lo, hi), []
-                cell.append((*row[:6], np.frombuffer(row[6], np.uint16)))
+                cell.append((*row[:6], np.frombuffer(row[6], np.uint32)))
         if found := cell_links(cell, least, similarity):
             yield made(found)
 
@@ -578,14 +578,10 @@ def passage_around(x: np.ndarray, y: np.ndarray, centre: int, other: int, least:
         k = int(np.searchsorted(cuts, np.searchsorted(shared, at)))
         return int(shared[cuts[k - 1] + 1] if k else shared[0]), int(shared[cuts[k]] if k < len(cuts) else shared[-1]) + 1
 
-    _SEEN[y] = True
-    mine = np.flatnonzero(_SEEN[x])
-    _SEEN[y] = False
+    mine = _held(x, y)
     if len(mine) < similarity * least:
         return None
-    _SEEN[x] = True
-    theirs = np.flatnonzero(_SEEN[y])
-    _SEEN[x] = False
+    theirs = _held(y, x)
     for gap in (GAP, 1):
         a, b = stretch(mine, centre, gap)
         if b - a < least:
@@ -603,6 +599,18 @@ def passage_around(x: np.ndarray, y: np.ndarray, centre: int, other: int, least:
 _SEEN = np.zeros(1 << 16, bool)
 
 
+def _held(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of x whose values y holds; a table of low bits leaves out most others first."""
+    low = (y & np.uint32(0xFFFF)).astype(np.intp)
+    _SEEN[low] = True
+    maybe = np.flatnonzero(_SEEN[(x & np.uint32(0xFFFF)).astype(np.intp)])
+    _SEEN[low] = False
+    if not len(maybe):
+        return maybe
+    values = set(y.tolist())
+    return maybe[[v in values for v in x[maybe].tolist()]]
+
+
 def repeated_documents(found: DataFrame) -> DataFrame:
     """One row for each document of repeated_passages: doc_id, class_id, n_spans, repeated_words, spans (start-end, merged, joined by commas).
 

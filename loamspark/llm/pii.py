@@ -12,6 +12,8 @@ ADDED = ("iban", "national_id")
 #: The least score of a reported span.
 LEAST = 0.5
 CONTEXT = 40
+#: Characters that redaction looks at together.
+CHUNK = 4096
 
 # Every pattern matches what its plain form matches, but in linear time: a run is entered only at its start (or
 # where the last match ended) and is taken possessively, because nothing in it could match from a later start.
@@ -44,17 +46,20 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _running(lengths: Column, chunk: int = 64) -> Column:
-    """Sums of all earlier elements, for each element; in chunks, so that many elements do not cost their square."""
+def _running(values: Column, combine, chunk: int = 64) -> Column:
+    """combine of 0 and all earlier elements, for each element; in chunks, so that many elements do not cost their square."""
 
-    def sums(values: Column, start: Column) -> Column:
-        step = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
-        return F.aggregate(values, F.struct(start.alias("at"), F.expr("cast(array() as array<int>)").alias("out")), step)["out"]
+    def scan(part: Column, start: Column) -> Column:
+        step = lambda a, x: F.struct(combine(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(part, F.struct(start.alias("at"), F.expr("cast(array() as array<int>)").alias("out")), step)["out"]
 
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / chunk).cast("int")), lambda i: F.slice(lengths, i * chunk + 1, chunk))
-    totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x))
-    many = _let(sums(totals, F.lit(0)), lambda bases: F.flatten(F.transform(parts, lambda p, i: sums(p, F.get(bases, i)))))
-    return F.when(F.size(lengths) <= chunk, sums(lengths, F.lit(0))).otherwise(many)
+    def chunked(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / chunk).cast("int")), lambda i: F.slice(v, i * chunk + 1, chunk))
+        bases = lambda p: scan(F.transform(p, lambda x: F.aggregate(x, F.lit(0), combine)), F.lit(0))
+        many = _let(parts, lambda p: F.flatten(F.transform(F.arrays_zip(p.alias("p"), bases(p).alias("b")), lambda z: scan(z["p"], z["b"]))))
+        return F.when(F.size(v) <= chunk, scan(v, F.lit(0))).otherwise(many)
+
+    return _let(values, chunked)
 
 
 def _digits(s: Column) -> Column:
@@ -85,19 +90,23 @@ def _confirmed(kind: str, s: Column) -> Column:
 def _spans(t: Column, kind: str) -> Column:
     """The confirmed and scored matches of a kind, from its matches in column _m_<kind> and the gaps between them."""
     m = F.col(f"_m_{kind}")
-    gaps = F.transform(F.split(t, PATTERNS[kind], -1), F.length)
 
-    def starts(g: Column) -> Column:
+    def starts(lengths: Column) -> Column:
         # Before match i lie gaps 0 to i and matches 0 to i-1.
-        steps = F.concat(F.slice(g, 1, 1), F.transform(m, lambda x, i: F.length(x) + F.coalesce(F.get(g, i + 1), F.lit(0))))
-        return F.slice(_running(steps), 2, F.size(m))
+        steps = F.concat(F.slice(lengths, 1, 1), F.transform(m, lambda x, i: F.length(x) + F.coalesce(F.get(lengths, i + 1), F.lit(0))))
+        return F.slice(_running(steps, lambda a, x: a + x), 2, F.size(m))
+
+    def contexts(gaps: Column) -> Column:
+        # The characters just before each match, back to the second match before it at most, from the gaps alone.
+        earlier = lambda i: F.concat(F.coalesce(F.right(F.get(gaps, i - 1), F.lit(CONTEXT)), F.lit("")), F.coalesce(F.get(m, i - 1), F.lit("")))
+        return F.transform(m, lambda x, i: F.lower(F.right(F.concat(F.when(i > 0, earlier(i)).otherwise(""), F.get(gaps, i)), F.lit(CONTEXT))))
 
     def one(z: Column) -> Column:
-        before = F.lower(F.substring(t, F.greatest(z["start"] - CONTEXT, F.lit(0)) + 1, F.least(z["start"], F.lit(CONTEXT))))
-        score = F.lit(START[kind]) + F.when(before.rlike(CUES[kind]), RAISE).otherwise(0.0)
+        score = F.lit(START[kind]) + F.when(z["before"].rlike(CUES[kind]), RAISE).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), z["start"].alias("start"), (z["start"] + F.length(z["m"])).alias("end"), F.least(score, F.lit(1.0)).alias("score"))
 
-    zipped = F.zip_with(m, _let(gaps, starts), lambda x, at: F.struct(x.alias("m"), at.alias("start")))
+    placed = lambda gaps: F.arrays_zip(m.alias("m"), _let(F.transform(gaps, F.length), starts).alias("start"), contexts(gaps).alias("before"))
+    zipped = _let(F.split(t, PATTERNS[kind], -1), placed)
     scored = F.transform(F.filter(zipped, lambda z: F.coalesce(_confirmed(kind, z["m"]), F.lit(False))), one)
     return scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= LEAST)
 
@@ -122,17 +131,33 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.select(*cols, F.concat(*spans).alias("pii"))
 
 
+def _cut(chunks: Column, start: Column, end: Column) -> Column:
+    """Characters start to end (exclusive) of a text in chunks of CHUNK characters; no chunk outside is read."""
+    first = F.floor(start / CHUNK).cast("int")
+    held = F.array_join(F.slice(chunks, first + 1, F.greatest(F.floor((end - 1) / CHUNK).cast("int") - first + 1, F.lit(0))), "")
+    return F.substring(held, start - first * CHUNK + 1, end - start)
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with every found span of text replaced by its kind in brackets; overlapping spans become one. A null text stays null."""
-    found = find_pii(docs, text)
-    spans = F.sort_array(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    t = F.col(f"`{text}`")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(
-        F.struct(s["end"].alias("at"), F.concat(a["out"], F.when(s["start"] >= a["at"], F.concat(F.substring(t, a["at"] + 1, s["start"] - a["at"]), F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))).alias("out"))
-    )
-    rebuilt = _let(F.aggregate(spans, start, step), lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    return found.withColumn(text, F.when(t.isNull() | (F.size("pii") == 0), t).otherwise(rebuilt)).select(*docs.columns)
+    """docs with every found span of text replaced by its kind in brackets; overlapping spans become one.
+
+    A null text stays null, an empty one empty; all columns keep their values (one named pii too); repeated rows stay; an
+    empty table stays empty.
+    """
+    whole = docs.select(F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = find_pii(whole).withColumn("spans", F.sort_array(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
+    ends = F.transform("spans", lambda s: s["end"])
+    # A span that begins before the end of an earlier one belongs to it.
+    before = _running(ends, lambda a, x: F.greatest(a, x))
+    kept = F.filter(F.zip_with("spans", before, lambda s, at: F.struct(at.alias("at"), s["start"].alias("start"), s["kind"].alias("kind"))), lambda z: z["start"] >= z["at"])
+
+    def rebuilt(chunks: Column) -> Column:
+        parts = F.transform(kept, lambda z: F.concat(_cut(chunks, z["at"], z["start"]), F.lit("["), z["kind"], F.lit("]")))
+        return F.concat(F.array_join(parts, ""), _cut(chunks, F.array_max(ends), F.length("text")))
+
+    changed = _let(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), rebuilt)
+    new = F.when(F.col("text").isNull() | (F.size("pii") == 0), F.col("text")).otherwise(changed)
+    return found.select(*[new.alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def digest(spans: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from loamspark.llm.common import bounded_sample, components, materialize, read
 
 THRESHOLD = 0.93
+#: Candidates whose exact cosine is computed at once.
+RERANK = 1 << 15
 #: Bound of the vectors that the quantisers are fitted on, lists, subspaces, codes a subspace, rows of a block.
 SAMPLE_ROWS, LISTS, SUBSPACES, CODES, BLOCK = 20_000, 64, 8, 64, 1024
 
@@ -94,14 +96,17 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Vectors of equal label and length link when their cosine in double precision reaches the threshold. Exact copies stand
     behind one row with their number; of the others, each is probed against all lists that can hold a link, candidates come
     from table lookups, and every candidate is reranked by its exact cosine. Rows that cannot link keep themselves.
-    Repeated ids count as separate vectors of one id: n_links is the largest of them.
+    Rows of one id, and rows without an id, count as vectors of their own: each has its own n_links; component_id is the
+    smallest id of the component, null if none of its rows has one. Other columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
-    good = materialize(rows.where(usable()).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    good = rows.where(usable()).groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    # Written once, so that each distinct vector keeps its number.
+    good = materialize(good.withColumn("rep", F.monotonically_increasing_id()))
     sample = bounded_sample(good.select("rep", "embedding"), SAMPLE_ROWS)
     by_length: dict[int, list] = {}
-    for r in sorted(sample, key=lambda r: r["rep"] if r["rep"] is not None else -1):
+    for r in sorted(sample, key=lambda r: r["embedding"]):
         by_length.setdefault(len(r["embedding"]), []).append(r["embedding"])
     quantisers = {n: ProductQuantiser(np.array(v)) for n, v in by_length.items()}
     # Lengths that the sample lacks are compared in one list, still in blocks.
@@ -123,9 +128,8 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 yield pd.concat(out)
 
     label = vectors.schema["label"].dataType.simpleString()
-    vec = vectors.schema["vec_id"].dataType.simpleString()
-    shape = f"rep {vec}, copies long, label {label}, dim int, cell int, probes array<int>, codes binary, unit array<double>"
-    units = materialize(good.mapInPandas(placed, shape))
+    shape = f"rep long, copies long, label {label}, dim int, cell int, probes array<int>, codes binary, unit array<double>"
+    units = materialize(good.select("rep", "copies", "label", "embedding").mapInPandas(placed, shape))
     # Lists are cut into blocks; a list's blocks follow from its rows, so tasks stay of one size however common a list is.
     lists = units.groupBy("label", "dim", "cell").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
     key = ["label", "dim"]
@@ -155,14 +159,13 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         links, edges = _compare(pq, a, b, alone, int(first["a_cell"]), int(first["b_cell"]), threshold)
         return pd.DataFrame(links + edges, columns=["rep", "other", "links"])
 
-    linked = materialize(left.unionByName(right).groupBy(*cols).applyInPandas(compare, f"rep {vec}, other {vec}, links long"))
+    linked = materialize(left.unionByName(right).groupBy(*cols).applyInPandas(compare, "rep long, other long, links long"))
     counts = linked.where("links > 0").groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(linked.where("links = 0").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    reps = (
-        good.join(counts, "rep", "left")
-        .join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
+    reps = good.join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    reps = materialize(reps.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component", "first"))
+    least = reps.groupBy("component").agg(F.min("first").alias("component_id"))
+    reps = reps.join(least, "component").select("label", "embedding", "n_links", "component_id")
     out = rows.where(usable()).join(reps, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     rest = rows.where(~usable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
@@ -189,7 +192,7 @@ def _compare(pq: ProductQuantiser | None, a, b, alone: bool, a_cell: int, b_cell
     if alone:
         maybe = np.triu(maybe | maybe.T, 1)
     i, j = np.nonzero(maybe)
-    exact = np.einsum("nd,nd->n", xa[i], xb[j]) >= threshold
+    exact = np.concatenate([np.einsum("nd,nd->n", xa[i[k : k + RERANK]], xb[j[k : k + RERANK]]) >= threshold for k in range(0, len(i), RERANK)] or [np.zeros(0, bool)])
     i, j = i[exact], j[exact]
     if not len(i):
         return [], []
