@@ -28,7 +28,7 @@ RULES = (
     (r"\bi\s+(?:have|own)\s+(?:a|an)?\s*(.+?)" + END, "User has {0}", 0.75, "possession"),
     (r"\bmy\s+name\s+is\s+(.+?)" + END, "User's name is {0}", 0.95, "identity,name"),
 )
-# The other rules; RULES is what the registered queries and their SQL share.
+# The other rules.
 ALL_RULES = RULES + (
     (r"\bmy\s+favorite\s+(.+?)\s+is\s+(.+?)" + END, "User's favorite {0} is {1}", 0.90, "preference,favorite"),
     (r"\bi'm\s+([0-9]+)\s+years?\s+old", "User is {0} years old", 0.90, "identity,age"),
@@ -53,7 +53,7 @@ PII = {
     "ip": r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b",
     "date_of_birth": r"\b[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{4}\b",
 }
-# All patterns of each kind; PII, one for each, is what the registered queries and their SQL share.
+# All patterns of each kind.
 ALL_PII = PII | {
     "phone": r"\([0-9]{3}\)\s*[0-9]{3}[-.\s]?[0-9]{4}|" + PII["phone"] + r"|\b\+1[-.\s]?[0-9]{3}[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}\b|\b\+[0-9]{1,3}[-.\s]?[0-9]{1,4}[-.\s]?[0-9]{1,4}[-.\s]?[0-9]{1,9}\b",
     "card": PII["card"] + r"|\b(?:[0-9]{4}[-\s]?){3}[0-9]{4}\b",

@@ -18,21 +18,21 @@ def _docs(spark, d):
     return read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
-@query("pii_counts", "SELECT doc_id AS id, " + ", ".join(f"len(regexp_extract_all(text, '{_sql(p)}')) AS {k}" for k, p in op.PII.items()) + " FROM documents")
+@query("pii_counts", "SELECT doc_id AS id, " + ", ".join(f"len(regexp_extract_all(text, '{_sql(p)}')) AS {k}" for k, p in op.ALL_PII.items()) + " FROM documents")
 def pii_counts(spark, d):
-    return _docs(spark, d).select("id", *op.pii_counts("text", op.PII))
+    return _docs(spark, d).select("id", *op.pii_counts("text"))
 
 
 def _redact_sql() -> str:
     out = "text"
     for k in ("email", "card", "ip", "ssn", "phone", "date_of_birth"):
-        out = f"regexp_replace({out}, '{_sql(op.PII[k])}', '[{k.upper()}]', 'g')"
+        out = f"regexp_replace({out}, '{_sql(op.ALL_PII[k])}', '[{k.upper()}]', 'g')"
     return out
 
 
 @query("pii_redact_replace", f"SELECT doc_id AS id, sha256({_redact_sql()}) AS redacted FROM documents")
 def pii_redact_replace(spark, d):
-    return _docs(spark, d).select("id", F.sha2(op.pii_redact("text", op.PII), 256).alias("redacted"))
+    return _docs(spark, d).select("id", F.sha2(op.pii_redact("text"), 256).alias("redacted"))
 
 
 CATEGORIES = {"insult": (("stupid", "worthless"), "block"), "taste": (("disgusting", "awful"), "redact"), "legal": (("rights reserved", "license"), "warn")}
@@ -81,11 +81,11 @@ def query_ambiguity(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", tx.ambiguity("text").alias("reason"))
 
 
-REFERRED = "t AS (SELECT doc_id AS id, left(text, 200) || ' [ref:' || source || ',' || lang || '] and [ref:' || lang || '] .' AS text FROM documents)"
+REFERRED = "t AS (SELECT doc_id AS id, text || ' [ref:' || source || ',' || lang || '] and [ref:' || lang || '] .' AS text FROM documents)"
 
 
 def _referred(spark, d):
-    text = F.concat(F.left("text", F.lit(200)), F.lit(" [ref:"), "source", F.lit(","), "lang", F.lit("] and [ref:"), "lang", F.lit("] ."))
+    text = F.concat("text", F.lit(" [ref:"), "source", F.lit(","), "lang", F.lit("] and [ref:"), "lang", F.lit("] ."))
     return read(spark, d, "documents").select(F.col("doc_id").alias("id"), text.alias("text"))
 
 
@@ -95,30 +95,32 @@ def references_extract(spark, d):
     return _referred(spark, d).select("id", tx.references("text").alias("ids"), tx.strip_references("text").alias("stripped"))
 
 
-PERSONAL = "t AS (SELECT doc_id AS id, 'I love ' || source || '. I work at ' || lang || ', and I live in ' || left(text, 20) || '.' AS text FROM documents)"
+PERSONAL = "t AS (SELECT doc_id AS id, 'I love ' || source || '. I work at ' || lang || ', and I live in ' || text || '.' AS text FROM documents)"
 
 
 def _personal(spark, d):
-    text = F.concat(F.lit("I love "), "source", F.lit(". I work at "), "lang", F.lit(", and I live in "), F.left("text", F.lit(20)), F.lit("."))
+    text = F.concat(F.lit("I love "), "source", F.lit(". I work at "), "lang", F.lit(", and I live in "), "text", F.lit("."))
     return read(spark, d, "documents").select(F.col("doc_id").alias("id"), text.alias("text"))
 
 
 def _rules_sql() -> str:
     rows = []
-    for p, t, c, g in op.RULES:
-        a, b = t.replace("'", "''").split("{0}")
-        rows.append(f"SELECT id, '{a}' || trim(unnest(regexp_extract_all(text, '(?i){_sql(p)}', 1))) || '{b}' AS content, {c}::double AS confidence, '{g}' AS tags FROM t")
+    for p, t, c, g in op.ALL_RULES:
+        template = "'" + _sql(t) + "'"
+        for k in range(2):
+            template = template.replace(f"{{{k}}}", f"' || trim(unnest(regexp_extract_all(text, '(?i){_sql(p)}', {k + 1}))) || '")
+        rows.append(f"SELECT id, {template} AS content, {c}::double AS confidence, '{g}' AS tags FROM t")
     return f"WITH {PERSONAL} " + " UNION ALL ".join(rows)
 
 
 @query("pattern_extract", _rules_sql())
 def pattern_extract(spark, d):
-    return op.apply_rules(_personal(spark, d), op.RULES)
+    return op.apply_rules(_personal(spark, d))
 
 
 @query("candidate_filter", f"WITH c AS ({_rules_sql()}), o AS (SELECT * FROM c WHERE confidence >= 0.8 QUALIFY row_number() OVER (PARTITION BY id, lower(trim(content)) ORDER BY confidence DESC, content) = 1) SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY id ORDER BY confidence DESC, content) <= 2")
 def candidate_filter(spark, d):
-    return op.filter_candidates(op.apply_rules(_personal(spark, d), op.RULES), 0.8, 2)
+    return op.filter_candidates(op.apply_rules(_personal(spark, d)), 0.8, 2)
 
 
 @query("entity_counts", r"SELECT lang, e AS entity, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+')) AS e FROM documents) GROUP BY ALL")

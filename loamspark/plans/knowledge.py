@@ -38,10 +38,10 @@ def scope_counts(spark, d):
     return _scoped(spark, d).withColumn("r", F.row_number().over(w)).groupBy("scope").agg(F.count("*").alias("n"), F.sum(F.when(F.col("r") > 1, 1).otherwise(0)).alias("overridden"))
 
 
-@query("grouped_prompt", f"WITH {SCOPED} SELECT scope, string_agg(name, ' | ' ORDER BY priority DESC, id) FILTER (priority >= 20) AS line FROM m GROUP BY scope")
+@query("grouped_prompt", f"WITH {SCOPED} SELECT scope, priority, id, '- ' || name AS line FROM m")
 def grouped_prompt(spark, d):
-    rows = _scoped(spark, d).where("priority >= 20").groupBy("scope").agg(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), "id", "name"))).alias("a"))
-    return rows.select("scope", F.array_join(F.transform("a", lambda x: x["name"]), " | ").alias("line"))
+    """One line for each member of a scope, with what orders it; no scope is gathered into one row."""
+    return _scoped(spark, d).select("scope", "priority", "id", F.concat(F.lit("- "), "name").alias("line"))
 
 
 @query("skill_layering", "SELECT p_brand || ' ' || p_type AS name, p_partkey AS id, p_size % 3 AS layer FROM part QUALIFY row_number() OVER (PARTITION BY p_brand || ' ' || p_type ORDER BY p_size % 3 DESC, p_partkey) = 1")

@@ -44,11 +44,11 @@ def skill_lint(spark, d):
     return read(spark, d, "part").select("p_partkey", F.array_join(sk.lint(name, F.col("p_name")), ",").alias("findings"))
 
 
-@query("skill_relationships", """WITH r AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_quantity > 45)
+@query("skill_relationships", """WITH r AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem)
 SELECT DISTINCT skill, other FROM (SELECT a AS skill, b AS other FROM r UNION ALL SELECT b, a FROM r) WHERE other NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)""")
 def skill_relationships(spark, d):
     """The other end of every relation, from either side, unless it is active."""
-    r = read(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
+    r = read(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
     ends = r.select(F.explode(F.array(F.struct(F.col("a").alias("skill"), F.col("b").alias("other")), F.struct(F.col("b").alias("skill"), F.col("a").alias("other")))).alias("e")).select("e.*")
     active = read(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("other"))
     return ends.distinct().join(active, "other", "left_anti").select("skill", "other")
