@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loamspark.functions import text as tx
 from loamspark.operators import extract as op
 from loamspark.plans.registry import query
-from loamspark.plans.tables import MEMORIES, memories, read
+from loamspark.plans.tables import ASKED, MEMORIES, asked, memories, read
 
 
 def _sql(pattern: str) -> str:
@@ -51,9 +51,9 @@ def _greatest(rules, flags: str, column: str) -> str:
     return "greatest(" + ", ".join(f"CASE WHEN regexp_matches({column}, '{flags}{_sql(p)}') THEN {w}::double ELSE 0 END" for p, w in rules) + ")"
 
 
-@query("intent_pattern", "WITH t AS (SELECT conv_id, turn, text FROM conversations), s AS (" + " UNION ALL ".join(f"SELECT conv_id, turn, '{k}' AS intent, {_greatest(r, '(?i)', 'text')} AS score FROM t" for k, r in tx.INTENTS.items()) + ") SELECT * FROM s WHERE score > 0")
+@query("intent_pattern", f"WITH {ASKED}, t AS (SELECT conv_id, turn, text FROM asked), s AS (" + " UNION ALL ".join(f"SELECT conv_id, turn, '{k}' AS intent, {_greatest(r, '(?i)', 'text')} AS score FROM t" for k, r in tx.INTENTS.items()) + ") SELECT * FROM s WHERE score > 0")
 def intent_pattern(spark, d):
-    rows = read(spark, d, "conversations").select("conv_id", "turn", F.explode(tx.intents("text")).alias("i"))
+    rows = asked(spark, d).select("conv_id", "turn", F.explode(tx.intents("text")).alias("i"))
     return rows.select("conv_id", "turn", "i.intent", "i.score")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loamspark.functions import scoring as sc
 from loamspark.functions import skills as sk
 from loamspark.plans.registry import query
-from loamspark.plans.tables import read
+from loamspark.plans.tables import ASKED, asked, read
 
 CATALOG = {"billing": "the price of", "review": "look again", "search": "find the", "summary": "in short"}
 _SCORES = ", ".join(
@@ -119,9 +119,9 @@ def sentence_counts(spark, d):
     return read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(F.split("text", r"(?<=[.!?])[ \t\n\r]+")).cast("long").alias("sentences"))
 
 
-@query("search_directive", """SELECT conv_id, turn FROM conversations WHERE role = 'user' AND regexp_matches(lower(text), '\\?|^(who|what|when|where|why|how|which)\\b') AND NOT regexp_matches(lower(text), '^(hi|hello|hey|thanks|thank you)\\b')""")
+@query("search_directive", f"""WITH {ASKED} SELECT conv_id, turn FROM asked WHERE role = 'user' AND regexp_matches(lower(text), '\\?|^(who|what|when|where|why|how|which)\\b') AND NOT regexp_matches(lower(text), '^(hi|hello|hey|thanks|thank you)\\b')""")
 def search_directive(spark, d):
     """User turns that ask something and are no greeting."""
     low = F.lower("text")
     asks = F.rlike(low, F.lit(r"\?|^(who|what|when|where|why|how|which)\b")) & ~F.rlike(low, F.lit(r"^(hi|hello|hey|thanks|thank you)\b"))
-    return read(spark, d, "conversations").where((F.col("role") == "user") & asks).select("conv_id", "turn")
+    return asked(spark, d).where((F.col("role") == "user") & asks).select("conv_id", "turn")

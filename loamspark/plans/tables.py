@@ -40,3 +40,16 @@ def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVENTS = "ev AS (SELECT conv_id AS session_id, turn AS seq, CASE WHEN role = 'assistant' THEN 'agent' ELSE role END AS type, text AS content FROM conversations)"
+
+
+#: Openings of questions, put before turns in order, so that classifiers of questions have something to find.
+OPENINGS = ("what is the ", "how do i find ", "please fix the ", "compare ", "", "explain ", "show me an example of ")
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with an opening of a question before the text: conv_id, turn, role, text."""
+    opening = F.element_at(F.array(*map(F.lit, OPENINGS)), (F.pmod("turn", F.lit(len(OPENINGS))) + 1).cast("int"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat(opening, "text").alias("text"))
+
+
+ASKED = "asked AS (SELECT conv_id, turn, role, ([" + ", ".join(f"'{x}'" for x in OPENINGS) + f"])[turn % {len(OPENINGS)} + 1] || text AS text FROM conversations)"

@@ -44,11 +44,25 @@ def not_expired(as_of: Column, column: str = "expires_at") -> Column:
 
 
 class Table:
-    """A keyed table in a folder: reads, upserts, versioned saves and deletes, each written as a new generation."""
+    """A keyed table in a folder: reads, upserts, versioned saves and deletes, each written as a new generation.
+
+    A table opened on a folder starts from its newest whole generation. A generation that another writer has begun or
+    written meanwhile is an error, not overwritten.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: list[str], version: str):
         self.spark, self.path, self.schema, self.key, self.version = spark, path.rstrip("/"), schema, key, version
-        self.generation = 0
+        self.generation = self._newest()
+
+    def _newest(self) -> int:
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            return 0
+        names = [x.getPath().getName() for x in files.listStatus(folder)]
+        whole = [int(n[1:]) for n in names if n[:1] == "g" and n[1:].isdigit() and files.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+        return max(whole, default=0)
 
     def read(self) -> DataFrame:
         if not self.generation:
@@ -56,18 +70,19 @@ class Table:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/g{self.generation}")
 
     def _write(self, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/g{self.generation + 1}")
+        df.write.mode("error").parquet(f"{self.path}/g{self.generation + 1}")
         self.generation += 1
 
     def upsert(self, changes: DataFrame) -> None:
         self._write(merge_keyed(self.read(), changes, self.key, self.version))
 
     def save(self, changes: DataFrame) -> DataFrame:
-        """Versioned save; returns the rejected rows, whose stored version is higher."""
+        """Versioned save; returns the rejected rows, whose stored version is higher (written beside the new generation)."""
         merged, rejected = guarded_merge(self.read(), changes, self.key, self.version)
-        rejected = self.spark.createDataFrame(rejected.collect(), rejected.schema)  # a caller's own batch of changes
+        beside = f"{self.path}/rejected{self.generation + 1}"
+        rejected.write.mode("overwrite").parquet(beside)
         self._write(merged)
-        return rejected
+        return self.spark.read.schema(rejected.schema).parquet(beside)
 
     def delete(self, ids: DataFrame) -> None:
         self._write(self.read().join(ids, self.key, "left_anti"))

@@ -105,6 +105,12 @@ def test_layers_and_stores(spark, tmp_path):
     assert table.save(changes).count() == 1
     table.delete(spark.createDataFrame([(3,)], "k long"))
     assert sorted(r["k"] for r in table.read().collect()) == [1, 2]
+    again = stores.Table(spark, str(tmp_path), "k long, v long, s string", ["k"], "v")
+    assert again.generation == 3 and sorted(r["k"] for r in again.read().collect()) == [1, 2]
+    again.delete(spark.createDataFrame([(1,)], "k long"))
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        table.delete(spark.createDataFrame([(2,)], "k long"))
+    assert [r["k"] for r in stores.Table(spark, str(tmp_path), "k long, v long, s string", ["k"], "v").read().collect()] == [2]
     assert table.read().where(stores.compile_filters([("k", "gte", 2), ("s", "in", ["new"])])).count() == 1
     (tmp_path / "x.md").write_text("---\nname: a-b\n---\nbody")
     row = stores.read_frontmatter(spark, str(tmp_path / "x.md")).first()
