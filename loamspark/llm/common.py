@@ -19,6 +19,7 @@ SHINGLE = 5
 #: Rows and bytes of a column that are worked on at once, and bytes of an Arrow batch that goes to a Python worker.
 PIECE, PIECE_BYTES, BATCH_BYTES = 1024, 2 << 20, 8 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+_FREE_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,10 +46,18 @@ def sliced(batch: pa.RecordBatch, column: int, rows: int = PIECE, size: int = PI
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """df written as a table in the shared folder and read again: lineage ends there and survives lost executors."""
+    """df written as a table in the shared folder and read again: lineage ends there and survives lost executors.
+
+    Shuffle files of the write are removed as soon as it ends, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loam-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_FREE_SETTING, None)
+    spark.conf.set(_FREE_SETTING, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_FREE_SETTING) if before is None else spark.conf.set(_FREE_SETTING, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
