@@ -29,12 +29,12 @@ GAP, DRIFT = 10, 8
 SHARED = 0.6
 #: Bytes of text in a batch, ranges of hashes for so many batches, bits of a hash within its range.
 PACK, RANGES, PER_BATCHES, LOW = 4 << 20, 1024, 8192, 32
-#: Members of a centre in one group; contexts in a block of the exact remainder; rows and columns of its matrix at once.
-GROUP, BLOCK, ROWS, COLUMNS = 64, 512, 64, 256
+#: Members of a centre in one group; contexts in a block of the exact remainder; rows, columns and pairs of its matrix at once.
+GROUP, BLOCK, ROWS, COLUMNS, PAIRS = 64, 512, 64, 256, 1 << 13
 #: Hash functions whose keys look for passages of one component's members that no centre covers: they change spans, no class.
 OPEN_FUNCTIONS = 2
 #: Members of a cell up to which its pairs are looked at one by one.
-FEW = 16
+FEW = 3
 
 FUNCTION = 7  # the low bits of a key that tell its hash function
 
@@ -503,44 +503,59 @@ def around_minima(members: DataFrame, pieces: DataFrame, least: int, similarity:
     return equal.unionByName(materialize(rows.mapInArrow(run, FOUND)))
 
 
-def _reached(held: np.ndarray, centre: int, step: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places from centre to the end of the stretch on one side of it (step 1 or -1), and how many are shared: held[:, t, :] tells which share place t."""
-    shape = held.shape[0], held.shape[2]
-    last, missed, count = (np.zeros(shape, np.int16) for _ in range(3))
-    for k in range(1, centre + 1):
-        here = held[:, centre + step * k] & (missed < gap)
-        missed = np.where(here, 0, missed + 1).astype(np.int16)
-        count += here
-        last[here] = k
-        if (missed >= gap).all():
-            break
-    return last, count
+def _reached(held: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places to the end of the stretch on one side of a centre, and how many of them are shared; a row of held for each pair, from the centre outwards."""
+    steps = np.arange(1, held.shape[1] + 1, dtype=np.int16)
+    at = np.where(held, steps, np.int16(0))
+    before = np.zeros_like(at)
+    np.maximum.accumulate(at[:, :-1], axis=1, out=before[:, 1:])
+    inside = held & ~np.logical_or.accumulate(held & (steps - before > gap), axis=1)
+    return (at * inside).max(1), inside.sum(1, dtype=np.int16)
 
 
 def likely_pairs(contexts: list[np.ndarray], centres: list[int], asked: np.ndarray, width: int, least: int, similarity: float) -> np.ndarray:
-    """Which asked pairs can have a passage around their centres: the stretches that they share, with gaps of few words or none,
-    are long enough, and enough of their places is shared (a little less than the similarity asks, as values may repeat)."""
+    """Which asked pairs (both ways) can have a passage around their centres: the stretches that they share, with gaps of few words
+    or none, are long enough, and enough of their places is shared (a little less than the similarity asks, as values may repeat).
+
+    Stretches hold no more shared places than the whole contexts, so pairs with too few of these are left out before.
+    """
     n = len(contexts)
     values, code = np.unique(np.concatenate(contexts), return_inverse=True)
     sizes = np.array([len(c) for c in contexts])
     owner, inside = np.repeat(np.arange(n), sizes), np.concatenate([np.arange(k) for k in sizes])
     table = np.full((n, 2 * width + 1), len(values), np.int64)
     table[owner, inside - np.repeat(centres, sizes) + width] = code
-    length, count, whole = (np.zeros((n, n), np.int32) for _ in range(3))
-    rows = np.flatnonzero(asked.any(1))
-    for at in range(0, n, COLUMNS):
-        mine = owner // COLUMNS == at // COLUMNS
+    rate = 2 * similarity / (1 + similarity) - 0.04
+
+    def holding(at: int) -> np.ndarray:
+        mine = (owner >= at) & (owner < at + COLUMNS)
         has = np.zeros((len(values) + 1, min(COLUMNS, n - at)), bool)
         has[code[mine], owner[mine] - at] = True
+        return has
+
+    total = np.zeros((n, n), np.int16)
+    rows = np.flatnonzero(asked.any(1))
+    for at in range(0, n, COLUMNS):
+        has = holding(at)
         for k in range(0, len(rows), ROWS):
             part = rows[k : k + ROWS]
-            held = has[table[part]]
-            (right, more), (left, less) = _reached(held, width, 1, GAP), _reached(held, width, -1, GAP)
-            length[part, at : at + COLUMNS], count[part, at : at + COLUMNS] = right + left + 1, more + less + 1
-            whole[part, at : at + COLUMNS] = _reached(held, width, 1, 1)[0] + _reached(held, width, -1, 1)[0] + 1
-    dense = count + count.T >= (2 * similarity / (1 + similarity) - 0.04) * (length + length.T)
+            total[part, at : at + COLUMNS] = has[table[part]].sum(1, dtype=np.min_scalar_type(2 * width + 1))
+    near = asked & (total + total.T >= 2 * (rate * least - 1))  # a centre counts even where it is not shared
+    length, count, whole = (np.zeros((n, n), np.int16) for _ in range(3))
+    for at in range(0, n, COLUMNS):
+        mine, other = np.nonzero(near[:, at : at + COLUMNS])
+        if len(mine) and n > COLUMNS:
+            has = holding(at)
+        for k in range(0, len(mine), PAIRS):
+            p, q = mine[k : k + PAIRS], other[k : k + PAIRS]
+            held = has[table[p], q[:, None]]
+            sides = held[:, width + 1 :], held[:, :width][:, ::-1]
+            (right, more), (left, less) = (_reached(x, GAP) for x in sides)
+            length[p, at + q], count[p, at + q] = right + left + 1, more + less + 1
+            whole[p, at + q] = sum(_reached(x, 1)[0] for x in sides) + 1
+    dense = count + count.T >= rate * (length.astype(np.int32) + length.T)
     long = length >= least
-    return asked & (long & long.T & dense | (whole >= least) & (whole.T >= least))
+    return near & (long & long.T & dense | (whole >= least) & (whole.T >= least))
 
 
 def cell_links(cell: list[tuple], least: int, similarity: float) -> list[tuple]:

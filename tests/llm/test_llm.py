@@ -500,3 +500,27 @@ def test_windows_of_pieces(spark):
     keys = {r["doc_id"]: {(w["key"], w["context"]) for w in r["windows"]} for r in got}
     assert keys[0] == keys[1] != keys[2] and {k & passages.FUNCTION for k, _ in keys[0]} == set(range(passages.HASHES))
     assert passages.pieces_of(rows.limit(0), 46).count() == 0
+
+
+@pytest.mark.parametrize("n", [2, 5, 40, 300])
+def test_likely_pairs_lose_no_passage(n):
+    rng = np.random.default_rng(n)
+    width, least = passages.reach(46), 46
+    base = [rng.integers(8, 1 << 32, 2 * width + 1, dtype=np.uint32) for _ in range(4)]
+    contexts, centres = [], []
+    for _ in range(n):
+        x, edge = base[rng.integers(4)].copy(), int(rng.integers(0, width))
+        x[width] = 7  # the minimum that all share
+        x[:edge] = rng.integers(8, 1 << 32, edge, dtype=np.uint32)
+        changed = rng.random(len(x)) < rng.choice([0, 0.02, 0.06, 0.15])
+        changed[width] = False
+        x[changed] = rng.integers(8, 1 << 32, changed.sum(), dtype=np.uint32)
+        first, last = int(rng.integers(0, width)), int(rng.integers(width + 1, len(x) + 1))
+        contexts.append(x[first:last])
+        centres.append(width - first)
+    asked = ~np.eye(n, dtype=bool)
+    found = passages.likely_pairs(contexts, centres, asked, width, least, 0.8)
+    real = np.array([[i != j and passages.passage_around(contexts[i], contexts[j], centres[i], centres[j], least, 0.8) is not None for j in range(n)] for i in range(n)])
+    assert not (real & ~found).any()
+    assert n < 40 or real.any()
+    assert found.sum() <= 2 * real.sum() + 8
