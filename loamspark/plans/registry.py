@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-FAMILIES: tuple[str, ...] = ("retrieval", "timeline", "knowledge", "extract", "graph", "skills", "streaming", "lifecycle")
+FAMILIES: tuple[str, ...] = ("retrieval", "timeline", "knowledge", "extract", "graph", "skills", "streaming", "lifecycle", "assembly")
 
 
 def query(name: str, sql: str | None = None):

@@ -1,6 +1,7 @@
 """Operators on tiny tables with known results."""
 
 import math
+import re
 
 import pandas as pd
 import pytest
@@ -153,3 +154,32 @@ def test_all_rules(spark):
     got = {r["content"] for r in extract.apply_rules(spark.createDataFrame([(1, text)], "id long, text string")).collect()}
     want = "favorite color is blue|is 40 years old|speaks French|visited Rome|recently ate|used to smoke|wants to run|is interested in art|is learning Go|is working on rest|knows Ada|is skilled at chess|can cook"
     assert got == {"User" + ("'s " if x.startswith("favorite") else " ") + x for x in want.split("|")} | {"Recently, user swam"}
+
+
+def test_dependency_levels_refuse_cycles(spark):
+    from loamspark.operators import assembly
+
+    edges = spark.createDataFrame([("deploy", "build"), ("build", "fetch"), ("deploy", "fetch")], "node string, needs string")
+    assert {r.node: r.level for r in assembly.dependency_levels(edges).collect()} == {"fetch": 0, "build": 1, "deploy": 2}
+    ring = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a")], "node string, needs string")
+    with pytest.raises(ValueError):
+        assembly.dependency_levels(ring)
+
+
+def test_redaction_modes(spark):
+    from loamspark.operators import assembly
+
+    row = spark.createDataFrame([("mail jane.doe@example.com or 555-123-4567 now",), (None,)], "t string").select(*[assembly.redact("t", m).alias(m) for m in assembly.MODES]).collect()
+    assert row[0].partial == "mail j*******@e******.com or ***-***-4567 now"
+    assert row[0].mask == "mail ****.***@*******.*** or ***-***-**** now"
+    assert row[0].remove == "mail  or  now"
+    assert re.fullmatch("mail [0-9a-f]{8} or [0-9a-f]{8} now", row[0].hash)
+    assert row[1].mask is None
+
+
+def test_conflicts(spark):
+    from loamspark.operators import assembly
+
+    rows = [("user likes green tea", "user hates green tea"), ("user is 25 years old", "user is 30 years old"), ("likes tea", "hates coal")]
+    df = spark.createDataFrame([(a, b, 0.7 if i < 2 else 0.0) for i, (a, b) in enumerate(rows)], "new string, old string, o double")
+    assert [r.c for r in df.select(assembly.conflicting("new", "old", F.col("o")).alias("c")).collect()] == [True, True, False]
