@@ -378,7 +378,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, similarity: float = S
     Pieces whose windows have the same minimum, and whose windows' runs around it overlap by about the least length, are
     linked to one of them, hash function by hash function; pairs whose runs meet for enough hash functions are verified.
     Members of a key that this leaves uncovered or in different components meet all others of the key by the shingles around
-    their places (around_minima). Null texts,
+    their places (around_minima); links that neither join components nor cover more words have no rows there. Null texts,
     and texts shorter than `words`, have no windows; rows with a null doc_id are left out. Rows that repeat a doc_id are
     compared with one another like other documents (other_id is then the doc_id itself); a passage that only one row
     repeats is not reported. Other columns are ignored; an empty table gives no rows.
@@ -563,6 +563,10 @@ def cell_links(cell: list[tuple], least: int, similarity: float) -> list[tuple]:
 
     A pair has an open member or two components and, if the cell has two blocks, one of either. The stretch around the place
     that the pair shares (as in passages, with gaps of few words or none) must have the least length and the similarity.
+
+    Every stretch of a member holds its place, so what its passages cover is one interval. A pair whose members are linked
+    already, and neither of which has a value just outside its interval that the other holds, can neither link nor cover
+    anything more: it is left out, and so are passages that add nothing. Rows thus grow with the members, not with their pairs.
     """
     n = len(cell)
     if n < 2:
@@ -576,12 +580,43 @@ def cell_links(cell: list[tuple], least: int, similarity: float) -> list[tuple]:
     contexts, centres = [x[6] for x in cell], [x[1] - x[5] for x in cell]
     if n > FEW:
         wanted = likely_pairs(contexts, centres, wanted, reach(least), least, similarity)
-    out = []
+    out, held, spans, group = [], {}, {}, {int(c): int(c) for c in component}
+
+    def root(c: int) -> int:
+        while group[c] != c:
+            group[c] = c = group[group[c]]
+        return c
+
+    def values(i: int) -> tuple[list, set]:
+        if i not in held:
+            held[i] = (v := contexts[i].tolist()), set(v)
+        return held[i]
+
+    def grows(i: int, j: int) -> bool:
+        """Whether the interval of i can grow by what j holds: a stretch goes on within GAP places."""
+        if i not in spans:
+            return True
+        (lo, hi), mine, theirs = spans[i], values(i)[0], values(j)[1]
+        return not (theirs.isdisjoint(mine[hi : hi + GAP]) and theirs.isdisjoint(mine[max(0, lo - GAP) : lo]))
+
+    def cover(i: int, a: int, b: int) -> bool:
+        """Adds a passage to what is covered; whether that is more than before."""
+        lo, hi = spans.get(i, (a + 1, a))
+        spans[i] = min(lo, a), max(hi, b)
+        return spans[i] != (lo, hi)
+
+    owners = component.tolist()
     for i, j in np.argwhere(np.triu(wanted, 1)).tolist():
+        one, two = root(owners[i]), root(owners[j])
+        if one == two and not grows(i, j) and not grows(j, i):
+            continue
         if found := passage_around(contexts[i], contexts[j], centres[i], centres[j], least, similarity):
             a, b, c, d, score = found
-            p, q = cell[i][5], cell[j][5]
-            out += [(cell[i][0], p + a, p + b, cell[j][0], score), (cell[j][0], q + c, q + d, cell[i][0], score)]
+            group[one] = two
+            more = [cover(i, a, b), cover(j, c, d)]
+            if one != two or any(more):
+                p, q = cell[i][5], cell[j][5]
+                out += [(cell[i][0], p + a, p + b, cell[j][0], score), (cell[j][0], q + c, q + d, cell[i][0], score)]
     return out
 
 

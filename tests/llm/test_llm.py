@@ -441,6 +441,38 @@ def test_likely_pairs_lose_no_passage():
     assert (maybe | ~np.array(found)).all() and 100 < np.sum(found) < 1600
 
 
+def test_a_cell_of_near_copies_gives_rows_in_proportion_to_its_members():
+    rng = np.random.default_rng(3)
+    base, cell = rng.integers(0, 1 << 32, 125).astype(np.uint32), []
+    for i in range(120):
+        v = rng.integers(0, 1 << 32, 125).astype(np.uint32)
+        a, b = int(rng.integers(0, 31)), int(rng.integers(94, 126))
+        v[a:b] = base[a:b]
+        edit = int(rng.integers(a, b - 5))
+        if not edit <= 62 < edit + 5:
+            v[edit : edit + 5] = rng.integers(0, 1 << 32, 5)
+        cell.append((i, 62, True, i, 0, 0, v))
+    found = passages.cell_links(cell, 46, 0.8)
+    got, want, to, reached = {}, {}, {i: set() for i in range(120)}, {i: set() for i in range(120)}
+    for i, a, b, j, _ in found:
+        got[i] = min(a, got.get(i, (a, b))[0]), max(b, got.get(i, (a, b))[1])
+        to[i].add(j)
+    for i in range(120):
+        for j in range(120):
+            if i != j and (x := passages.passage_around(cell[i][6], cell[j][6], 62, 62, 46, 0.8)):
+                want[i] = min(x[0], want.get(i, x[:2])[0]), max(x[1], want.get(i, x[:2])[1])
+                reached[i].add(j)
+
+    def parts(links):
+        of = {i: i for i in links}
+        for _ in links:
+            of = {i: min([of[i], *(of[j] for j in links[i])]) for i in links}
+        return of
+
+    assert got == want and parts(to) == parts(reached)
+    assert len(found) < 12 * 120 < sum(map(len, reached.values())) / 5
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51)], "a long, b long")
     got = {r["node"]: r["component"] for r in common.components(edges).collect()}
