@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from loamspark.llm.common import SHINGLE, bound_batches, components, lowered, materialize, read, runs_of_words, salted_pairs, scramble, sliced, words_of
+from loamspark.llm.common import SHINGLE, bound_batches, components, list_parts, lowered, materialize, read, runs_of_words, salted_pairs, scramble, sliced, words_of
 
 SIMILARITY = 0.8
 #: Least words of a passage, hash functions, and how many of them must share a window at one place.
@@ -108,22 +108,35 @@ def _rising(n: int, base: np.uint64) -> np.ndarray:
     return np.multiply.accumulate(steps)
 
 
+def _ranked(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """values of so many bits sorted, and their places, those of equal values ascending. If both fit a word they are sorted as one, which is faster."""
+    low = np.uint64(len(values).bit_length())
+    if bits + int(low) > 64:
+        order = np.argsort(values, kind="stable")
+        return values[order], order
+    packed = np.sort(values << low | np.arange(len(values), dtype=np.uint64))
+    return packed >> low, (packed & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+
+
 class Batch:
     """The shingles of a batch of documents that have at least `least`, one document after the other."""
 
     def __init__(self, texts: list[str | None], least: int, bits: int):
         raw = [lowered(t) for t in texts]
         starts, w = words_of(b" ".join(raw))
-        doc = np.searchsorted(np.cumsum([len(x) + 1 for x in raw]), starts, "right")
+        # Words of a document are counted from the borders, as documents are few next to words.
+        border = np.searchsorted(starts, np.cumsum([0] + [len(x) + 1 for x in raw]))
+        held = np.diff(border)
+        doc = np.repeat(np.arange(len(raw)), held)
         n = max(0, len(w) - SHINGLE + 1)
         whole = doc[:n] == doc[SHINGLE - 1 :][:n]
-        whole &= (np.bincount(doc, minlength=len(raw)) >= least + SHINGLE - 1)[doc[:n]] if n else False
+        whole &= (held >= least + SHINGLE - 1)[doc[:n]] if n else False
         s = runs_of_words(w)[:n] if n else w[:0]
         self.values, self.owners = s[whole], doc[:n][whole]
-        self.places = np.flatnonzero(whole) - np.searchsorted(doc, self.owners, "left")
+        self.places = np.flatnonzero(whole) - border[self.owners]
         short = self.values >> np.uint64(64 - LOW - bits)
-        order = np.argsort(short, kind="stable")
-        ranked, owner = short[order], self.owners[order]
+        ranked, order = _ranked(short, LOW + bits)
+        owner = self.owners[order]
         fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(ranked)]
         at = np.flatnonzero(fresh)
         #: Distinct shortened hashes, the one of each shingle, and whether two documents of the batch hold it.
@@ -184,9 +197,12 @@ def _marks(ranges: DataFrame) -> DataFrame:
 
     def marked(bucket, held):
         values = np.concatenate([np.frombuffer(h, np.uint32) for _, h in held])
-        _, which, count = np.unique(values, return_inverse=True, return_counts=True)
+        ranked, order = _ranked(values.astype(np.uint64), LOW)
+        same, again = ranked[1:] == ranked[:-1], np.zeros(len(ranked), bool)
+        again[order[1:]] = same
+        again[order[:-1]] |= same
         cuts = np.cumsum([len(h) // 4 for _, h in held])[:-1]
-        masks = [np.packbits(x).tobytes() for x in np.split(count[which] > 1, cuts)]
+        masks = [np.packbits(x).tobytes() for x in np.split(again, cuts)]
         return pa.RecordBatch.from_arrays([pa.array([b for b, _ in held], pa.int64()), pa.array([bucket] * len(held), pa.int32()), pa.array(masks, pa.binary())], names=["batch", "bucket", "mask"])
 
     def run(batches):
@@ -281,72 +297,78 @@ def pieces_of(docs: DataFrame, least: int) -> DataFrame:
     return materialize(rows.mapInArrow(run, shape))
 
 
-def enough(anchors: list[tuple], least: int) -> bool:
-    """Whether runs of anchors (function, my place, their place, first, last) of enough functions meet in nearly `least` places."""
-    if len({a[0] for a in anchors}) < ENOUGH:
+def enough(anchors: np.ndarray, least: int) -> bool:
+    """Whether runs of anchors (rows of function, my place, their place, first, last) of enough functions meet in nearly `least` places."""
+    kind, lo, hi = anchors[:, 0], anchors[:, 3], anchors[:, 4]
+    if np.count_nonzero(np.bincount(kind)) < ENOUGH:
         return False
-    need = max(1, least - DRIFT)
-    kind, lo, hi = (np.array([a[i] for a in anchors]) for i in (0, 3, 4))
-    for at in range(0, len(lo), 256):
-        covers = (lo[None] <= lo[at : at + 256, None]) & (hi[None] >= lo[at : at + 256, None] + need - 1)
-        if (sum(covers[:, kind == k].any(1).astype(int) for k in range(HASHES)) >= ENOUGH).any():
-            return True
-    return False
+    order = np.argsort(lo)
+    # How far the runs of each function reach that began up to a place; of equal places the last one knows all.
+    far = np.full((HASHES, len(lo)), -1, np.int64)
+    far[kind[order], np.arange(len(lo))] = hi[order]
+    np.maximum.accumulate(far, axis=1, out=far)
+    return bool(((far >= lo[order] + (max(1, least - DRIFT) - 1)).sum(0) >= ENOUGH).any())
 
 
 def _stretches(shared: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and exclusive ends of the runs of places in shared that follow one another within gap."""
-    cuts = np.flatnonzero(np.diff(shared) > gap)
+    cuts = (shared[1:] - shared[:-1] > gap).nonzero()[0]
     return shared[np.concatenate([[0], cuts + 1])], shared[np.concatenate([cuts, [len(shared) - 1]])] + 1
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted (faster than np.unique, which hashes, where they are few)."""
+    ranked = np.sort(values)
+    fresh = np.ones(len(ranked), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=fresh[1:])
+    return ranked[fresh]
+
+
 def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    x, y = np.unique(x), np.unique(y)
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    x, y = _distinct(x), _distinct(y)
+    both = len(_held(x, y))
     return both / (len(x) + len(y) - both)
 
 
-def passages(mine: np.ndarray, theirs: np.ndarray, anchors: list[tuple[int, int, int, int, int]], least: int, similarity: float, known: np.ndarray | None = None) -> list[tuple[int, int, int, int, float]]:
+def passages(mine: np.ndarray, theirs: np.ndarray, anchors: np.ndarray, least: int, similarity: float, known: np.ndarray | None = None) -> list[tuple[int, int, int, int, float]]:
     """(start, end, their start, their end, Jaccard) of near-duplicate stretches of two lists of shingles; ends exclusive.
 
-    anchors: (hash function, my place, their place, first, last) of windows that both share; first and last are the run, in
-    my places, that lies in either window. A stretch is a run of shared shingles with gaps of few words (known: their
-    distinct shingles, sorted); a pair of stretches needs anchors of enough hash functions whose runs meet, the least length
-    and the similarity. Each alignment of its anchors is tried, then the stretches as a whole (texts that repeat themselves
-    have no single alignment).
+    anchors: rows of hash function, my place, their place, first and last for the windows that both share; first and last are
+    the run, in my places, that lies in either window. A stretch is a run of shared shingles with gaps of few words (known:
+    their distinct shingles, sorted); a pair of stretches needs anchors of enough hash functions whose runs meet, the least
+    length and the similarity. Each alignment of its anchors is tried, then the stretches as a whole (texts that repeat
+    themselves have no single alignment).
     """
-    if len(mine) == len(theirs) >= least and anchors and (mine == theirs).all():
+    if len(mine) == len(theirs) >= least and len(anchors) and (mine == theirs).all():
         return [(0, len(mine), 0, len(mine), 1.0)]
-    known = np.unique(theirs) if known is None else known
-    shared = np.flatnonzero(known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine)
+    shared = _held(mine, _distinct(theirs) if known is None else known)
     if len(shared) < least * similarity:
         return []
     starts, ends = _stretches(shared, GAP)
     if (ends - starts).max() < least:
         return []
-    common = np.flatnonzero(np.isin(theirs, mine[shared]))
+    common = _held(theirs, np.sort(mine[shared]))
     out: list[tuple[int, int, int, int, float]] = []
     for gap in (GAP, 1):
         (s1, e1), (s2, e2) = _stretches(shared, gap), _stretches(common, gap)
-        pairs: dict[tuple[int, int], list] = {}
-        at = np.array([x[1:3] for x in anchors])
-        for i, j, x in zip((np.searchsorted(s1, at[:, 0], "right") - 1).tolist(), (np.searchsorted(s2, at[:, 1], "right") - 1).tolist(), anchors, strict=True):
-            pairs.setdefault((i, j), []).append(x)
-        for (i, j), own in sorted(pairs.items()):
-            a, b, c, d = int(s1[i]), int(e1[i]), int(s2[j]), int(e2[j])
-            if min(b - a, d - c) < least or not enough(own, least):
+        pair = s1.searchsorted(anchors[:, 1], "right") * (len(s2) + 1) + s2.searchsorted(anchors[:, 2], "right")
+        order = np.argsort(pair, kind="stable")
+        for own in np.split(order, np.diff(pair[order]).nonzero()[0] + 1):
+            i, j = divmod(int(pair[own[0]]), len(s2) + 1)
+            a, b, c, d = int(s1[i - 1]), int(e1[i - 1]), int(s2[j - 1]), int(e2[j - 1])
+            if min(b - a, d - c) < least or not enough(anchors[own], least):
                 continue
-            groups: list[list] = []
-            for x in sorted(own, key=lambda x: (x[1] - x[2], x[1])):
-                if groups and x[1] - x[2] - (groups[-1][-1][1] - groups[-1][-1][2]) <= DRIFT:
-                    groups[-1].append(x)
-                else:
-                    groups.append([x])
+            met = anchors[own]
+            shifts = met[:, 1] - met[:, 2]
+            by = np.lexsort((met[:, 1], shifts))
+            met, shifts = met[by], shifts[by]
+            groups = np.split(met, (np.diff(shifts) > DRIFT).nonzero()[0] + 1)
             tried = []
             for group in groups:
-                if not enough(group, least):
+                # One group is all of them, which are enough.
+                if len(groups) > 1 and not enough(group, least):
                     continue
-                shift = group[len(group) // 2][1] - group[len(group) // 2][2]
+                shift = int(group[len(group) // 2, 1] - group[len(group) // 2, 2])
                 lo, hi = max(a, c + shift), min(b, d + shift)
                 if hi - lo < least:
                     continue
@@ -401,10 +423,9 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, similarity: float = S
 
     def verify(centre, members):
         theirs, rows, own = np.frombuffer(centre["text"], np.uint32), [], []
-        known = np.unique(theirs)
+        known = _distinct(theirs)
         for m in members:
-            places = [(x["k"], x["place"], x["c_place"], x["lo"], x["hi"]) for x in m["anchors"]]
-            for a, b, c, d, score in passages(np.frombuffer(m["text"], np.uint32), theirs, places, least, similarity, known):
+            for a, b, c, d, score in passages(np.frombuffer(m["text"], np.uint32), theirs, m["anchors"], least, similarity, known):
                 rows.append((m["member"], a, b, centre["centre"], score))
                 own.append((c, d, m["member"], score))
         merged: list[list] = []
@@ -472,11 +493,15 @@ def around_minima(members: DataFrame, pieces: DataFrame, least: int, similarity:
 
     def contexts(batches):
         for batch in batches:
-            for piece, own, body in zip(*(batch.column(i) for i in range(3)), strict=True):
-                v, n, rows = np.frombuffer(body.as_py(), np.uint32), piece.as_py(), own.as_py()
-                for at in range(0, len(rows), 4096):
-                    out = [(r["key"], n, r["place"], r["open"], r["component"], r["active"], r["block"], r["p"], r["q"], lo, v[lo : r["place"] + reach(least) + 1].tobytes()) for r in rows[at : at + 4096] for lo in (max(0, r["place"] - reach(least)),)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+            ends, (key, places, *rest) = list_parts(batch.column(1))
+            owner, place = np.repeat(np.arange(batch.num_rows), np.diff(ends)), places.to_numpy()
+            piece, bodies = batch.column(0).to_numpy()[owner], batch.column(2).to_pylist()
+            lo, hi = np.maximum(place - reach(least), 0), place + reach(least) + 1
+            for at in range(0, len(place), 4096):
+                own = slice(at, at + 4096)
+                cuts = [bodies[o][4 * a : 4 * b] for o, a, b in zip(owner[own].tolist(), lo[own].tolist(), hi[own].tolist(), strict=True)]
+                columns = [key[own], pa.array(piece[own]), places[own], *[x[own] for x in rest], pa.array(lo[own]), pa.array(cuts, pa.binary())]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     last = F.when(F.col("active"), F.col("p") + F.col("q")).otherwise(F.col("p")) - 1
     cells = cut.mapInArrow(contexts, fields).withColumn("meets", F.explode(F.sequence(F.lit(0), last)))
@@ -490,7 +515,7 @@ def around_minima(members: DataFrame, pieces: DataFrame, least: int, similarity:
 
         at, cell = None, []
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(10)]
+            columns = [batch.column(i).to_numpy(zero_copy_only=False).tolist() for i in range(9)] + [batch.column(9).to_pylist()]
             for key, lo, hi, *row in zip(*columns, strict=True):
                 if (key, lo, hi) != at:
                     if found := cell_links(cell, least, similarity):
@@ -505,12 +530,15 @@ def around_minima(members: DataFrame, pieces: DataFrame, least: int, similarity:
 
 def _reached(held: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
     """Places to the end of the stretch on one side of a centre, and how many of them are shared; a row of held for each pair, from the centre outwards."""
+    if gap == 1:
+        full = np.where(held.all(1), held.shape[1], held.argmin(1)).astype(np.int16)
+        return full, full
     steps = np.arange(1, held.shape[1] + 1, dtype=np.int16)
-    at = np.where(held, steps, np.int16(0))
-    before = np.zeros_like(at)
-    np.maximum.accumulate(at[:, :-1], axis=1, out=before[:, 1:])
-    inside = held & ~np.logical_or.accumulate(held & (steps - before > gap), axis=1)
-    return (at * inside).max(1), inside.sum(1, dtype=np.int16)
+    last = np.maximum.accumulate(np.where(held, steps, np.int16(0)), axis=1)
+    ends = steps - last >= gap  # so many places without one, the next cannot go on
+    first = ends.argmax(1)
+    length = np.where(ends.any(1), last[np.arange(len(last)), first], last[:, -1])
+    return length, (held & (steps <= length[:, None])).sum(1, dtype=np.int16)
 
 
 def likely_pairs(contexts: list[np.ndarray], centres: list[int], asked: np.ndarray, width: int, least: int, similarity: float) -> np.ndarray:
@@ -520,9 +548,13 @@ def likely_pairs(contexts: list[np.ndarray], centres: list[int], asked: np.ndarr
     Stretches hold no more shared places than the whole contexts, so pairs with too few of these are left out before.
     """
     n = len(contexts)
-    values, code = np.unique(np.concatenate(contexts), return_inverse=True)
+    ranked, order = _ranked(np.concatenate(contexts).astype(np.uint64), 32)
+    fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    values, code = ranked[fresh], np.empty(len(order), np.int64)
+    code[order] = np.cumsum(fresh) - 1
     sizes = np.array([len(c) for c in contexts])
-    owner, inside = np.repeat(np.arange(n), sizes), np.concatenate([np.arange(k) for k in sizes])
+    owner = np.repeat(np.arange(n), sizes)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     table = np.full((n, 2 * width + 1), len(values), np.int64)
     table[owner, inside - np.repeat(centres, sizes) + width] = code
     rate = 2 * similarity / (1 + similarity) - 0.04
@@ -549,10 +581,11 @@ def likely_pairs(contexts: list[np.ndarray], centres: list[int], asked: np.ndarr
         for k in range(0, len(mine), PAIRS):
             p, q = mine[k : k + PAIRS], other[k : k + PAIRS]
             held = has[table[p], q[:, None]]
-            sides = held[:, width + 1 :], held[:, :width][:, ::-1]
-            (right, more), (left, less) = (_reached(x, GAP) for x in sides)
-            length[p, at + q], count[p, at + q] = right + left + 1, more + less + 1
-            whole[p, at + q] = sum(_reached(x, 1)[0] for x in sides) + 1
+            sides, m = np.concatenate([held[:, width + 1 :], held[:, :width][:, ::-1]]), len(p)
+            far, shared = _reached(sides, GAP)
+            length[p, at + q], count[p, at + q] = far[:m] + far[m:] + 1, shared[:m] + shared[m:] + 1
+            near_by = _reached(sides, 1)[0]
+            whole[p, at + q] = near_by[:m] + near_by[m:] + 1
     dense = count + count.T >= rate * (length.astype(np.int32) + length.T)
     long = length >= least
     return near & (long & long.T & dense | (whole >= least) & (whole.T >= least))
@@ -571,16 +604,20 @@ def cell_links(cell: list[tuple], least: int, similarity: float) -> list[tuple]:
     n = len(cell)
     if n < 2:
         return []
-    piece, is_open, component, block = (np.array([x[i] for x in cell]) for i in (0, 2, 3, 4))
-    wanted = (piece[:, None] != piece[None]) & (is_open[:, None] | is_open[None] | (component[:, None] != component[None]))
-    if block.min() != block.max():
-        wanted &= block[:, None] != block[None]
-    if not wanted.any():
-        return []
     contexts, centres = [x[6] for x in cell], [x[1] - x[5] for x in cell]
-    if n > FEW:
-        wanted = likely_pairs(contexts, centres, wanted, reach(least), least, similarity)
-    out, held, spans, group = [], {}, {}, {int(c): int(c) for c in component}
+    if n <= FEW:
+        apart = len({x[4] for x in cell}) > 1
+        pairs = [(i, j) for i in range(n) for j in range(i + 1, n) for a, b in ((cell[i], cell[j]),) if a[0] != b[0] and (a[2] or b[2] or a[3] != b[3]) and not (apart and a[4] == b[4])]
+    else:
+        piece, is_open, component, block = (np.array([x[i] for x in cell]) for i in (0, 2, 3, 4))
+        wanted = (piece[:, None] != piece[None]) & (is_open[:, None] | is_open[None] | (component[:, None] != component[None]))
+        if block.min() != block.max():
+            wanted &= block[:, None] != block[None]
+        if not wanted.any():
+            return []
+        pairs = np.argwhere(np.triu(likely_pairs(contexts, centres, wanted, reach(least), least, similarity), 1)).tolist()
+    owners = [x[3] for x in cell]
+    out, held, ranked, spans, group = [], {}, {}, {}, {c: c for c in owners}
 
     def root(c: int) -> int:
         while group[c] != c:
@@ -605,12 +642,16 @@ def cell_links(cell: list[tuple], least: int, similarity: float) -> list[tuple]:
         spans[i] = min(lo, a), max(hi, b)
         return spans[i] != (lo, hi)
 
-    owners = component.tolist()
-    for i, j in np.argwhere(np.triu(wanted, 1)).tolist():
+    def rank(i: int) -> np.ndarray:
+        if i not in ranked:
+            ranked[i] = np.sort(contexts[i])
+        return ranked[i]
+
+    for i, j in pairs:
         one, two = root(owners[i]), root(owners[j])
         if one == two and not grows(i, j) and not grows(j, i):
             continue
-        if found := passage_around(contexts[i], contexts[j], centres[i], centres[j], least, similarity):
+        if found := passage_around(contexts[i], contexts[j], centres[i], centres[j], least, similarity, (rank(i), rank(j))):
             a, b, c, d, score = found
             group[one] = two
             more = [cover(i, a, b), cover(j, c, d)]
@@ -620,22 +661,26 @@ def cell_links(cell: list[tuple], least: int, similarity: float) -> list[tuple]:
     return out
 
 
-def passage_around(x: np.ndarray, y: np.ndarray, centre: int, other: int, least: int, similarity: float) -> tuple | None:
-    """(start, end, their start, their end, Jaccard) of the stretch around a shingle that both contexts hold, ends exclusive."""
+def passage_around(x: np.ndarray, y: np.ndarray, centre: int, other: int, least: int, similarity: float, ranked: tuple | None = None) -> tuple | None:
+    """(start, end, their start, their end, Jaccard) of the stretch around a shingle that both contexts hold, ends exclusive. ranked: both contexts sorted."""
 
     def stretch(shared: np.ndarray, at: int, gap: int) -> tuple[int, int]:
-        cuts = np.flatnonzero(shared[1:] - shared[:-1] > gap)
-        k = int(np.searchsorted(cuts, np.searchsorted(shared, at)))
+        cuts = (shared[1:] - shared[:-1] > gap).nonzero()[0]
+        if not len(cuts):
+            return int(shared[0]), int(shared[-1]) + 1
+        k = int(cuts.searchsorted(shared.searchsorted(at)))
         return int(shared[cuts[k - 1] + 1] if k else shared[0]), int(shared[cuts[k]] if k < len(cuts) else shared[-1]) + 1
 
-    mine = _held(x, y)
+    my_rank, their_rank = ranked or (np.sort(x), np.sort(y))
+    mine = _held(x, their_rank)
     if len(mine) < similarity * least:
         return None
-    theirs = _held(y, x)
+    theirs = None
     for gap in (GAP, 1):
         a, b = stretch(mine, centre, gap)
         if b - a < least:
             return None  # smaller gaps give shorter stretches
+        theirs = _held(y, my_rank) if theirs is None else theirs
         c, d = stretch(theirs, other, gap)
         if d - c < least:
             return None
@@ -646,19 +691,9 @@ def passage_around(x: np.ndarray, y: np.ndarray, centre: int, other: int, least:
     return None
 
 
-_SEEN = np.zeros(1 << 16, bool)
-
-
-def _held(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Places of x whose values y holds; a table of low bits leaves out most others first."""
-    low = (y & np.uint32(0xFFFF)).astype(np.intp)
-    _SEEN[low] = True
-    maybe = np.flatnonzero(_SEEN[(x & np.uint32(0xFFFF)).astype(np.intp)])
-    _SEEN[low] = False
-    if not len(maybe):
-        return maybe
-    values = set(y.tolist())
-    return maybe[[v in values for v in x[maybe].tolist()]]
+def _held(x: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+    """Places of x whose values are among the ranked (sorted) ones."""
+    return (ranked.take(ranked.searchsorted(x), mode="clip") == x).nonzero()[0]
 
 
 def repeated_documents(found: DataFrame) -> DataFrame:

@@ -570,3 +570,111 @@ def test_secret_counts_and_thresholds_follow_every_document(spark):
     found = secrets.known_margins(docs, model)
     assert sum(n for steps in found.values() for n in steps.values()) == len(secrets.corpus_findings([t or "" for t in texts])) > 5000
     assert secrets.made_prose(np.zeros((128, 128, 128), np.int64)) == () and len(secrets.made_prose(counts, 5)) == 5
+
+
+def plain_passage_around(x, y, centre, other, least, similarity):
+    """passage_around by sets, value by value."""
+
+    def stretch(shared, at, gap):
+        lo = hi = shared.index(at)
+        while lo and shared[lo] - shared[lo - 1] <= gap:
+            lo -= 1
+        while hi + 1 < len(shared) and shared[hi + 1] - shared[hi] <= gap:
+            hi += 1
+        return shared[lo], shared[hi] + 1
+
+    x, y = x.tolist(), y.tolist()
+    mine, theirs = [i for i, v in enumerate(x) if v in set(y)], [i for i, v in enumerate(y) if v in set(x)]
+    for gap in (passages.GAP, 1):
+        (a, b), (c, d) = stretch(mine, centre, gap), stretch(theirs, other, gap)
+        if min(b - a, d - c) < least or len(mine) < similarity * least:
+            return None
+        left, right = set(x[a:b]), set(y[c:d])
+        if (score := len(left & right) / len(left | right)) >= similarity:
+            return a, b, c, d, score
+    return None
+
+
+def contexts_around(rng, share, repeats):
+    """Two contexts around value 7 that share about that part of their values, cut at random, some values repeated."""
+    base = rng.integers(8, 1 << 32, 125, dtype=np.uint32)
+    base[rng.integers(0, 125, repeats)] = base[rng.integers(0, 125, repeats)]
+    out = []
+    for _ in range(2):
+        x, (first, last) = base.copy(), (int(rng.integers(0, 30)), int(rng.integers(95, 126)))
+        changed = rng.random(125) > share
+        x[changed] = rng.integers(8, 1 << 32, changed.sum(), dtype=np.uint32)
+        x[62] = 7
+        out += [x[first:last], 62 - first]
+    return out[0], out[2], out[1], out[3]
+
+
+def test_passages_around_minima_equal_a_plain_search():
+    rng = np.random.default_rng(11)
+    made = [contexts_around(rng, *at) for at in ((0.3, 0), (0.85, 0), (0.93, 0), (0.97, 20), (1.0, 40)) for _ in range(60)]
+    found = [passages.passage_around(*m, 46, 0.8) for m in made]
+    assert found == [plain_passage_around(*m, 46, 0.8) for m in made]
+    assert 60 < sum(f is not None for f in found) < 240
+    # Contexts sorted before give the same.
+    assert found == [passages.passage_around(*m, 46, 0.8, (np.sort(m[0]), np.sort(m[1]))) for m in made]
+
+
+def test_small_cells_cost_less_than_sets():
+    """Most cells hold two contexts that share many values and no passage: both are looked up by sorting, not value by value."""
+    import time
+
+    rng = np.random.default_rng(12)
+    made = [contexts_around(rng, 0.75, 0) for _ in range(300)]
+    cells = [[(0, 62, True, 0, 0, 62 - p, x), (1, 62, True, 1, 0, 62 - q, y)] for x, y, p, q in made]
+
+    def by_sets(x, y):
+        held = set(y.tolist())
+        return [i for i, v in enumerate(x.tolist()) if v in held]
+
+    def seconds(work):
+        times = []
+        for _ in range(5):
+            start = time.process_time()
+            work()
+            times.append(time.process_time() - start)
+        return min(times)
+
+    plain = seconds(lambda: [(by_sets(x, y), by_sets(y, x), by_sets(x, y), by_sets(y, x)) for x, y, _, _ in made])
+    assert seconds(lambda: [passages.cell_links(c, 46, 0.8) for c in cells]) < 1.7 * plain
+
+
+def test_enough_equals_its_definition():
+    rng = np.random.default_rng(13)
+    seen = set()
+    for _ in range(400):
+        n = int(rng.integers(1, 12))
+        lo = rng.integers(0, 60, n)
+        anchors = np.stack([rng.integers(0, passages.HASHES, n), lo, lo, lo, lo + rng.integers(20, 60, n)], 1)
+        runs = [(int(k), int(a), int(b)) for k, _, _, a, b in anchors]
+        need = 46 - passages.DRIFT
+        want = any(len({k for k, a, b in runs if a <= t and b >= t + need - 1}) >= passages.ENOUGH for _, t, _ in runs)
+        assert passages.enough(anchors, 46) == want
+        seen.add(want)
+    assert seen == {True, False}
+
+
+def test_list_parts_of_slices_and_nulls():
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("k", pa.int32()), ("at", pa.int64())]))
+    column = pa.array([[{"k": 1, "at": 2}], None, [], [{"k": 3, "at": 4}, {"k": 5, "at": 6}], [{"k": 7, "at": 8}]], kind)
+    for part in (column, column.slice(1, 3), column.slice(3), column.slice(1, 2), column.slice(5)):
+        ends, fields = common.list_parts(part)
+        want = [x or [] for x in part.to_pylist()]
+        assert np.diff(ends).tolist() == [len(x) for x in want]
+        assert [f.to_pylist() for f in fields] == [[r[c] for x in want for r in x] for c in ("k", "at")]
+        assert [x.tolist() for x in common._values(part)] == [[list(r.values()) for r in x] for x in want]
+
+
+def test_ranked_places_of_equal_values_ascend():
+    rng = np.random.default_rng(14)
+    for n in (0, 1, 500):
+        values = rng.integers(0, 40, n).astype(np.uint64)
+        for bits in (6, 64):
+            ranked, order = passages._ranked(values, bits)
+            assert order.tolist() == sorted(range(n), key=lambda i: (values[i], i)) and (ranked == values[order]).all()
